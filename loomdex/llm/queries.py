@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomdex.llm import media, mixing, simhash
+from loomdex.llm import media, minhash, mixing, packing, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_mixing": op2_mixing, "op3_media": op3_media, "op5_simhash": op5_simhash}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(_table(spark, sf_dir, "documents"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op3_media": op3_media,
+    "op4_packing": op4_packing,
+    "op5_simhash": op5_simhash,
+    "op7_minhash": op7_minhash,
+    "op8_urlfilter": op8_urlfilter,
+}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op8_urlfilter": urlfilter.ORACLE}
