@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` follows the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +46,22 @@ def binary_column(batch, name: str) -> list:
 
     column = batch.column(batch.schema.get_field_index(name))
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def bit_of(bits: Column, at: Column) -> Column:
+    """Bit ``at`` (from 0) of a bitmap of Spark's bitmap functions; false outside it or where it is null."""
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def dense_ranks(keys: DataFrame, *names: str) -> DataFrame:
+    """Distinct rows ``names`` plus ``rank``, from 0 in their order, without a single-task sort.
+
+    Ranges are sorted apart; a range's first rank comes from a prefix sum over one count a range.
+    """
+    parts = shuffle_parts(keys.sparkSession)
+    d = cut(keys.select(*names).repartitionByRange(parts, *names).select(*names, F.spark_partition_id().alias("part")))
+    counts = d.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    first = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
+    inside = d.select(*names, "part", F.row_number().over(W.partitionBy("part").orderBy(*names)).alias("rn"))
+    return inside.join(F.broadcast(first), "part").select(*names, (F.col("first") + F.col("rn") - 1).alias("rank"))  # at most one row a shuffle partition

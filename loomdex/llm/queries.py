@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomdex.llm import media, minhash, mixing, packing, simhash, urlfilter
+from loomdex.llm import linededup, media, minhash, mixing, packing, quality, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_table(spark, sf_dir, "documents"))
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(_table(spark, sf_dir, "documents"))
 
@@ -37,12 +42,19 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__threshold").alias("threshold"), F.col("__keep").alias("keep"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_media": op3_media,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_linededup": op6_linededup,
     "op7_minhash": op7_minhash,
     "op8_urlfilter": op8_urlfilter,
+    "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op8_urlfilter": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_linededup": linededup.ORACLE, "op8_urlfilter": urlfilter.ORACLE}
