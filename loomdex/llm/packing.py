@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -18,24 +21,19 @@ OPEN_BINS = 32
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; then it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+#: Lower-case letters that Unicode's composition and case rules leave as they are.
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
-@dataclass
+@dataclass(slots=True)
 class Piece:
-    item: tuple  # whatever identifies the example
+    item: object  # whatever identifies the example
     start: int  # in tokens
     length: int
     loss: int
 
 
-@dataclass
-class Bin:
-    pieces: list[Piece] = field(default_factory=list)
-    tokens: int = 0
-    loss: int = 0
-
-
 class Packer:
     """Online packing with a bounded number of open bins.
 
@@ -46,64 +44,72 @@ class Packer:
     """
 
     def __init__(self, tokens=MAX_TOKENS, segments=MAX_SEGMENTS, loss=MAX_LOSS, open_bins=OPEN_BINS, cut=True):
-        self.limits = np.array([tokens, segments, loss], float)
+        self.limits = (tokens, segments, loss)
         self.cut, self.n = cut, open_bins
-        self.bins = [Bin() for _ in range(open_bins)]
-        self.room = np.tile(self.limits, (open_bins, 1))
+        self.bins: list[list[Piece]] = [[] for _ in range(open_bins)]
+        self.tokens, self.segments, self.loss = ([x] * open_bins for x in self.limits)  # room left
 
     def _put(self, k: int, p: Piece) -> Iterator[list[Piece]]:
-        b = self.bins[k]
-        b.pieces.append(p)
-        self.room[k] -= (p.length, 1, p.loss)
-        if self.room[k, :2].min() <= 0 or self.room[k, 2] < 0:
+        self.bins[k].append(p)
+        self.tokens[k] -= p.length
+        self.segments[k] -= 1
+        self.loss[k] -= p.loss
+        if not self.tokens[k] or not self.segments[k]:
             yield self._close(k)
 
     def _close(self, k: int) -> list[Piece]:
-        done, self.bins[k] = self.bins[k].pieces, Bin()
-        self.room[k] = self.limits
+        done, self.bins[k] = self.bins[k], []
+        self.tokens[k], self.segments[k], self.loss[k] = self.limits
         return done
 
-    def add(self, item: tuple, length: int, loss: int, start: int = 0) -> Iterator[list[Piece]]:
+    def _best(self, length: int, loss: int) -> int:
+        """The open bin with the largest dot product, an unused one if none in use can hold the example, else -1."""
+        cap, segments, most = self.limits
+        a, b, c = length / cap**2, 1 / segments**2, loss / most**2
+        best, score, empty = -1, -1.0, -1
+        for k, (t, s, f) in enumerate(zip(self.tokens, self.segments, self.loss, strict=True)):
+            if t >= length and f >= loss:
+                if t == cap and s == segments:
+                    empty = k
+                elif (x := a * t + b * s + c * f) > score:
+                    best, score = k, x
+        return best if best >= 0 else empty
+
+    def add(self, item, length: int, loss: int) -> Iterator[list[Piece]]:
         """Yields the pieces of each bin that is full. Without ``cut`` an example over a limit is a ValueError.
 
         With ``cut`` the loss-bearing tokens of a part are in proportion, rounded up.
         """
-        cap, _, most_loss = self.limits
-        if not self.cut and (length > cap or loss > most_loss):
+        cap, _, most = self.limits
+        if not self.cut and (length > cap or loss > most):
             raise ValueError(f"example {item} of {length} tokens, {loss} loss-bearing, is over the limits")
-        rate = loss / length
-        whole = int(min(cap, most_loss / rate if rate else cap))
+        rate, start = loss / length, 0
+        whole = cap if rate * cap <= most else max(1, int(most / rate))
         while length > whole:
-            yield [Piece(item, start, whole, int(np.ceil(rate * whole)))]
+            yield [Piece(item, start, whole, min(ceil(rate * whole), most))]
             start, length = start + whole, length - whole
         while length:
-            need = np.array([length, 1, min(np.ceil(rate * length), most_loss)])
-            fits = (self.room >= need).all(axis=1)
-            if fits.any():
-                score = np.where(fits, (self.room / self.limits) @ (need / self.limits), -1)
-                used = fits & (self.room[:, 1] < self.limits[1])
-                k = int(np.argmax(np.where(used, score, -1))) if used.any() else int(np.argmax(fits))
-                yield from self._put(k, Piece(item, start, length, int(need[2])))
+            need = min(ceil(rate * length), most)
+            k = self._best(length, need)
+            if k >= 0:
+                yield from self._put(k, Piece(item, start, length, need))
                 return
-            k = int(np.argmin(self.room[:, 0]))
-            if not self.cut:
+            k = min(range(self.n), key=self.tokens.__getitem__)
+            part = min(length, self.tokens[k], int(self.loss[k] / rate) if rate else length) if self.cut else 0
+            if not part:
                 yield self._close(k)
                 continue
-            part = int(min(length, self.room[k, 0], self.room[k, 2] // rate if rate else length))
-            if part:
-                yield from self._put(k, Piece(item, start, part, int(min(np.ceil(rate * part), self.room[k, 2]))))
-                start, length = start + part, length - part
-            else:
-                yield self._close(k)
+            yield from self._put(k, Piece(item, start, part, min(ceil(rate * part), self.loss[k])))
+            start, length = start + part, length - part
 
     def finish(self) -> Iterator[list[Piece]]:
         """What is left: as it lies without ``cut``; with it, run together and cut at powers of two, so nothing is padded."""
         if not self.cut:
-            yield from (b.pieces for b in self.bins if b.pieces)
+            yield from (b for b in self.bins if b)
             return
-        rest = [p for b in self.bins for p in b.pieces]
+        rest = [p for b in self.bins for p in b]
         left = sum(p.length for p in rest)
-        cap, segments, most_loss = (int(x) for x in self.limits)
+        cap, segments, most_loss = self.limits
         while left:
             size = cap if left >= cap else 1 << (left.bit_length() - 1)
             while True:
@@ -131,7 +137,9 @@ class WordIds:
     """Ids of texts under a tokenizer that drops white space, word by word: ids never span a blank.
 
     Words are split at ASCII white space as bytes; a bounded table keeps each word's ids as
-    little-endian unsigned 32-bit bytes, so a text's ids are one join.
+    little-endian unsigned 32-bit bytes, so a text's ids are one join. A Latin word, with or without
+    full stops and commas behind it, is one piece of the tokenizer's own splitting once in lower
+    case, so its letters go straight to the tokenizer's model; any other word takes the whole way.
     """
 
     def __init__(self, path: str):
@@ -143,24 +151,49 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level models
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        out = []
+        out, known = [], self.known
         for text in texts:
             words = text.split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self._learn(words)
-                out.append(b"".join(map(self.known.__getitem__, words)))
+            if new := set(words).difference(known):
+                if len(known) > CACHED_WORDS:
+                    known.clear()
+                    new = set(words)
+                self._learn(new)
+            out.append(b"".join(map(known.__getitem__, words)))
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, letters, odd = self.known, self.letters, []
+        if len(letters) > CACHED_WORDS:
+            letters.clear()
+        tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
+        for w in words:
+            core = w.rstrip(b".,")
+            s = core.decode("utf-8", "replace").lower()
+            if not LATIN(s):
+                odd.append(w)
+                continue
+            ids = letters.get(s)
+            if ids is None:
+                shown = s if s.isascii() else s.encode().decode("latin-1").translate(alphabet)
+                ids = letters[s] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in known:
+                    known[tail] = self._encode([tail.decode()])[0]
+                ids += known[tail]
+            known[w] = ids
+        if odd:
+            known.update(zip(odd, self._encode([w.decode("utf-8", "replace") for w in odd]), strict=True))
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
