@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomdex.llm import linededup, media, minhash, mixing, packing, quality, simhash, urlfilter
+from loomdex.llm import linededup, lm, media, minhash, mixing, packing, quality, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.fit_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return d.select("doc_id", "lang", F.col("__perplexity").alias("perplexity"), F.col("__threshold").alias("threshold"), F.col("__keep").alias("keep"))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_linededup": op6_linededup,
     "op7_minhash": op7_minhash,
     "op8_urlfilter": op8_urlfilter,
+    "op9_lm": op9_lm,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_linededup": linededup.ORACLE, "op8_urlfilter": urlfilter.ORACLE}
