@@ -8,17 +8,16 @@ folder; Python workers map the files and touch only the pages that their texts n
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import urlparse
+import os
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from loomdex.llm import eliasfano as ef
-from loomdex.llm.common import binary_column, cut, shared_dir, shuffle_parts
+from loomdex.llm.common import binary_column, cut, shuffle_parts
+from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, deal, merge, new_folder, planes, shard_of
 
 FOLDS, HELD = 5, 1
-HASH_BITS = 62
 #: Tokens handled together in a Python worker.
 BATCH_TOKENS = 1_000_000
 
@@ -28,16 +27,6 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD, F.lit(False))
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of equal weight together: what sorted numbers share becomes runs that Spark's compression removes."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def _plain(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-
-
 def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """62-bit hashes of all tokens (words with A-Z lower-cased, then one end token a text), and counts."""
     import xxhash
@@ -54,10 +43,6 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)) >> np.uint64(64 - HASH_BITS), np.array(counts, np.int64)
 
 
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
 def _token_batches(batches):
     """(batch rows, hashes, counts) with about BATCH_TOKENS tokens each; a text is never divided."""
     for b in batches:
@@ -70,55 +55,6 @@ def _token_batches(batches):
                 at, size = i + 1, 0
 
 
-def _add(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    keys = np.concatenate([k for k, _ in pairs])
-    counts = np.concatenate([c for _, c in pairs])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return (keys[first], np.add.reduceat(counts, first)) if len(keys) else (keys, counts)
-
-
-class _Tally:
-    """Sums of counts by key, folded together whenever enough has come in, so that memory follows the distinct keys."""
-
-    def __init__(self):
-        self.done, self.new, self.size = [], [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.new.append((keys, counts))
-        self.size += len(keys)
-        if self.size > 4 * BATCH_TOKENS:
-            self.fold()
-
-    def fold(self) -> tuple[np.ndarray, np.ndarray]:
-        parts = self.done + self.new
-        self.done = [_add(parts)] if parts else []
-        self.new, self.size = [], 0
-        return self.done[0] if self.done else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-class Files:
-    """Where the shards lie, and the mapped ones of this process."""
-
-    _open: dict[str, dict[str, np.ndarray]] = {}
-
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards = folder, shards
-
-    def path(self, kind: str, shard: int) -> str:
-        return f"{self.folder}/{kind}-{shard}"
-
-    def open(self, kind: str, shard: int) -> dict[str, np.ndarray]:
-        path = self.path(kind, shard)
-        if path not in self._open:
-            if len(self._open) > 4096:
-                self._open.clear()
-            self._open[path] = ef.load(path)
-        return self._open[path]
-
-
 class Model:
     """What the driver knows of a fitted trie; the rest is in the files."""
 
@@ -129,7 +65,7 @@ class Model:
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Numbers of sorted distinct hashes, -1 for unknown words."""
         out = np.full(len(h), -1, np.int64)
-        bounds = np.searchsorted(_shard_of(h, self.files.shards), np.arange(self.files.shards + 1))
+        bounds = np.searchsorted(shard_of(h, self.files.shards), np.arange(self.files.shards + 1))
         for s in range(self.files.shards):
             a, b = bounds[s], bounds[s + 1]
             if a < b and self.starts[s + 1] > self.starts[s]:
@@ -214,35 +150,16 @@ def fit(train: DataFrame) -> Model:
     discount. Unknown words are one class, with the share of tokens that training saw once.
     """
     spark = train.sparkSession
-    where = urlparse(shared_dir(spark))
-    if where.scheme not in ("", "file"):
-        raise ValueError(f"the trie is mapped from files: spark.checkpoint.dir must be a mounted shared folder, not {where.geturl()}")
-    import os
-
     shards = shuffle_parts(spark)
-    folder = f"{where.path}/lm-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    files = Files(folder, shards)
+    files = Files(new_folder(spark, "lm"), shards)
     texts = train.select("text")
 
-    def deal(tally: _Tally, shard: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-        import pyarrow as pa
-
-        bounds = np.searchsorted(shard, np.arange(shards + 1))
-        for s in range(shards):
-            a, b = bounds[s], bounds[s + 1]
-            if a < b:
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_planes(keys[a:b])]), pa.array([_planes(counts[a:b].astype(np.uint64))])], ["shard", "keys", "counts"])
-
     def count_words(batches):
-        tally = _Tally()
+        tally = Tally()
         for _, h, _n in _token_batches(batches):
             tally.add(*np.unique(h, return_counts=True))
         h, c = tally.fold()
-        yield from deal(tally, _shard_of(h, shards), h, c)
-
-    def merge(table) -> tuple[np.ndarray, np.ndarray]:
-        return _add([(_plain(k, np.uint64), _plain(c, np.uint64).astype(np.int64)) for k, c in zip(table["keys"], table["counts"], strict=True)])
+        yield from deal(shard_of(h, shards), shards, h, c)
 
     def keep_words(key, table):
         import pandas as pd
@@ -251,8 +168,7 @@ def fit(train: DataFrame) -> Model:
         ef.save(files.path("words", int(key[0])), {**ef.named("hash", ef.EliasFano.build(h)), "count": c.astype(np.uint32 if c.max(initial=0) < 2**32 else np.int64)})
         return pd.DataFrame({"shard": [key[0]], "words": [len(h)], "tokens": [int(c.sum())], "once": [int((c == 1).sum())]})
 
-    rows = "shard int, keys binary, counts binary"
-    told = texts.mapInArrow(count_words, rows).groupBy("shard").applyInPandas(keep_words, "shard int, words long, tokens long, once long").collect()
+    told = texts.mapInArrow(count_words, ROWS).groupBy("shard").applyInPandas(keep_words, "shard int, words long, tokens long, once long").collect()
     sizes = np.zeros(shards, np.int64)
     for r in told:
         sizes[r.shard] = r.words
@@ -266,7 +182,7 @@ def fit(train: DataFrame) -> Model:
     bare = Model(files, starts, tokens, unknown)
 
     def count_pairs(batches):
-        tally = _Tally()
+        tally = Tally()
         for _, h, n in _token_batches(batches):
             distinct, back = np.unique(h, return_inverse=True)
             ids = bare.ids(distinct)[back].astype(np.uint64)
@@ -275,7 +191,7 @@ def fit(train: DataFrame) -> Model:
             before[first] = ids[first + n - 1]
             tally.add(*np.unique(before << np.uint64(32) | ids, return_counts=True))
         keys, c = tally.fold()
-        yield from deal(tally, np.searchsorted(starts, (keys >> np.uint64(32)).astype(np.int64), "right") - 1, keys, c)
+        yield from deal(np.searchsorted(starts, (keys >> np.uint64(32)).astype(np.int64), "right") - 1, shards, keys, c)
 
     def keep_pairs(key, table):
         import pandas as pd
@@ -289,10 +205,10 @@ def fit(train: DataFrame) -> Model:
         for s in range(shards):
             a, b = bounds[s], bounds[s + 1]
             if a < b:
-                out.append((s, _planes(w[a:b]), _planes(times[a:b].astype(np.uint64)), None))
+                out.append((s, planes(w[a:b]), planes(times[a:b].astype(np.uint64)), None))
         return pd.DataFrame(out, columns=["shard", "keys", "counts", "n"])
 
-    merged = cut(texts.mapInArrow(count_pairs, rows).groupBy("shard").applyInPandas(keep_pairs, f"{rows}, n array<long>"))
+    merged = cut(texts.mapInArrow(count_pairs, ROWS).groupBy("shard").applyInPandas(keep_pairs, f"{ROWS}, n array<long>"))
     n = np.array([r.n for r in merged.where("shard < 0").select("n").collect()]).sum(axis=0)
     cost = _modified([int(x) for x in n[1:]])
 
