@@ -1,0 +1,110 @@
+"""Compressed FM-index over word sequences: wavelet-matrix rank, backward search in lockstep."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+class WaveletMatrix:
+    """Bit planes of a symbol sequence, one level a bit, with one running count a 64-bit word."""
+
+    def __init__(self, values: np.ndarray, largest: int):
+        self.levels = max(1, int(largest).bit_length())
+        self.words, self.before, self.zeros = [], [], []
+        at = values
+        for level in reversed(range(self.levels)):
+            bit = (at >> level) & 1
+            n = len(bit)
+            packed = np.zeros(-(-n // 64) * 8 + 8, np.uint8)
+            p = np.packbits(bit.astype(np.uint8), bitorder="little")
+            packed[: len(p)] = p
+            words = packed.view(np.uint64)
+            counts = np.bitwise_count(words).astype(np.int64)
+            self.words.append(words)
+            self.before.append(np.cumsum(counts) - counts)
+            self.zeros.append(n - int(counts.sum()))
+            at = np.concatenate([at[bit == 0], at[bit == 1]])
+
+    def descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Where position i of the sequence ends up below all levels, following ``symbol``'s bits."""
+        for level in range(self.levels):
+            word = i >> 6
+            inside = self.words[level][word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
+            ones = self.before[level][word] + np.bitwise_count(inside).astype(np.int64)
+            bit = (symbol >> (self.levels - 1 - level)) & 1
+            i = np.where(bit == 1, self.zeros[level] + ones, i - ones)
+        return i
+
+
+class FMIndex:
+    """Index of several word sequences, each ended by a mark of its own that sorts below all words.
+
+    ``repeats`` tells for each suffix-array row in how many rows the first ``length`` words recur.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, length: int):
+        self.length, count = length, len(sizes)
+        self.alphabet, ids = np.unique(words, return_inverse=True)
+        ends = np.cumsum(sizes + 1) - 1
+        n = int(ends[-1]) + 1 if count else 0
+        text = np.empty(n, np.int64)
+        is_word = np.ones(n, bool)
+        is_word[ends] = False
+        text[ends] = np.arange(count)
+        text[is_word] = count + ids
+        rank, step, at_length = text, 1, None
+        half = 1 << (length.bit_length() - 1)
+        if half == 1:
+            at_length = self._pair(rank, length - 1)
+        order = None
+        while True:
+            key = self._pair(rank, step)
+            order = np.argsort(key)
+            new = np.empty(n, np.int64)
+            new[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]]) if n else new
+            rank, step = new, step * 2
+            if at_length is None and step >= half:
+                at_length = self._pair(rank, length - half) if step == half else rank
+            if not n or rank[order[-1]] == n - 1:
+                break
+        if at_length is None:  # all suffixes differ within fewer words
+            at_length = rank
+        same = np.unique(at_length, return_inverse=True)[1] if n else at_length
+        self.repeats = np.bincount(same, minlength=1)[same][order] if n else same
+        shown = np.where(is_word, text - count + 1, 0)
+        bwt = shown[order - 1]
+        self.n = n
+        self.tree = WaveletMatrix(bwt, len(self.alphabet))
+        symbols = np.arange(len(self.alphabet) + 1)
+        counts = np.bincount(shown, minlength=len(symbols))
+        self.shift = np.cumsum(counts) - counts - self.tree.descend(symbols, np.zeros(len(symbols), np.int64))
+
+    @staticmethod
+    def _pair(rank: np.ndarray, step: int) -> np.ndarray:
+        ahead = np.zeros(len(rank), np.int64)
+        if step < len(rank):
+            ahead[: len(rank) - step] = rank[step:] + 1
+        return rank * (len(rank) + 2) + ahead if step else rank
+
+    def recurring(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each position of the given sequences: do the ``length`` words from here occur twice in the index?
+
+        All sequences are searched backwards together, a word a step. Each must occur in the index
+        as a whole; its rows at a position then begin with those ``length`` words, and one of them
+        tells how often they recur. Positions too near the end say no.
+        """
+        ids = np.searchsorted(self.alphabet, words) + 1
+        ends = np.cumsum(sizes)
+        out = np.zeros(len(words), bool)
+        order = np.argsort(-sizes, kind="stable")
+        ends, sizes = ends[order], sizes[order]
+        low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.n, np.int64)
+        for back in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
+            alive = int(np.searchsorted(-sizes, -back, "right"))
+            low, high, ends, sizes = low[:alive], high[:alive], ends[:alive], sizes[:alive]
+            symbol = ids[ends - back]
+            both = self.tree.descend(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.concatenate([self.shift[symbol]] * 2)
+            low, high = both[:alive], both[alive:]
+            if back >= self.length:
+                out[ends - back] = (high > low) & (self.repeats[np.minimum(low, self.n - 1)] > 1)
+        return out

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomdex.llm import linededup, lm, media, minhash, mixing, packing, quality, simhash, urlfilter
+from loomdex.llm import linededup, lm, media, minhash, mixing, packing, quality, simhash, substring, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring,
     "op2_mixing": op2_mixing,
     "op3_media": op3_media,
     "op4_packing": op4_packing,

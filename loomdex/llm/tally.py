@@ -82,6 +82,9 @@ class Files:
     def path(self, kind: str, shard: int) -> str:
         return f"{self.folder}/{kind}-{shard}"
 
+    def has(self, kind: str, shard: int) -> bool:
+        return self.path(kind, shard) in self._open or os.path.exists(self.path(kind, shard))
+
     def open(self, kind: str, shard: int) -> dict[str, np.ndarray]:
         path = self.path(kind, shard)
         if path not in self._open:
