@@ -1 +1 @@
-
+"""Whole workflows and the queries over the driver's tables."""

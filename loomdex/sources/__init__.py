@@ -1 +1 @@
-
+"""Where files, changes and settings come from."""
