@@ -9,7 +9,7 @@ from loomdex.llm.common import cut, n_words
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of one source and size are ranked in blocks of about so many.
-BLOCK = 100_000
+BLOCK = 5_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -82,7 +82,7 @@ def emit(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return out.select("x.*", F.explode(F.sequence(F.lit(1), F.col("c.__copies").cast("int"))).alias("__copy")).drop("__copy")
 
 
-ORACLE = """
+ORACLE = f"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 per as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, source_size * 3 as cap, sum(source_size) over () as total from per),
@@ -91,7 +91,7 @@ f as (select *, arg_min(case when level * w <= cap then level end, cap / w) filt
 t as (select source, source_size, least(cap::double, coalesce(found * w, cap::double)) as target from f),
 r as (select d.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate,
  ('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 8))::bigint / 4294967296.0::double as u,
- row_number() over (partition by d.source order by d.size, d.doc_id % (1 + n // 100000), d.doc_id) as k
+ row_number() over (partition by d.source order by d.size, d.doc_id % (1 + n // {BLOCK}), d.doc_id) as k
  from d join t on d.source is not distinct from t.source, (select count(*) as n from d))
 select doc_id, size, source_size, target, ((floor(rate * k + u) - floor(rate * (k - 1) + u)) * size)::bigint as taken from r
 """
