@@ -21,7 +21,8 @@ def _later(rows: DataFrame, *names: str) -> DataFrame:
     """(k, th, pos) of the rows whose ``names`` came before, at a lesser (k, th, pos)."""
     at = F.struct("k", "th", "pos")
     first = rows.groupBy(*names).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, list(names)).where(at > F.col("first")).select("k", "th", "pos")
+    # written first, so that the join has an exchange on either side and Spark may split a hot class
+    return rows.join(cut(first), list(names)).where(at > F.col("first")).select("k", "th", "pos")
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
