@@ -173,7 +173,8 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = cut(d.mapInArrow(find, "m long, whole long, k long, th long, start long, size long, twice boolean"))
     wholes = cut(found.groupBy("m", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "start")).alias("at"), F.max("twice").alias("twice")))
-    variants = wholes.groupBy("m").agg(F.count(F.lit(1)).alias("variants"))
+    # written first, so that the join has an exchange on either side and Spark may split a hot hash
+    variants = cut(wholes.groupBy("m").agg(F.count(F.lit(1)).alias("variants")))
     asked = wholes.join(variants, "m").where("variants > 1 OR twice")
     hot = asked.where(F.col("variants") > HOT).select("m").distinct()
 
