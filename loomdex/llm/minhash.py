@@ -22,6 +22,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SALTS = _mix(np.arange(1, BINS + 1, dtype=np.uint64))
+
+
 @functools.cache
 def _probes() -> np.ndarray:
     """For try t and empty bin i, the bin to borrow from: a universal hash of (i, t), the same for every document."""
@@ -43,12 +46,16 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> str:
-    """BINS hexadecimal digits: the low bits of each bin's least hash, empty bins filled by borrowing."""
+    """BINS hexadecimal digits: four bits of each bin's least hash, empty bins filled by borrowing.
+
+    The bits are drawn by a hash of the bin's own, so that two different values that fill many bins
+    agree in a sixteenth of them, not in all or none.
+    """
     h = np.sort(hashes)
     bins = (h >> np.uint64(55)).astype(np.int64)
     first = np.r_[True, bins[1:] != bins[:-1]]
-    value = np.zeros(BINS, np.uint8)
-    value[bins[first]] = (h[first] & np.uint64(15)).astype(np.uint8)
+    value = np.zeros(BINS, np.uint64)
+    value[bins[first]] = h[first]
     full = np.zeros(BINS, bool)
     full[bins[first]] = True
     empty = np.flatnonzero(~full)
@@ -64,7 +71,8 @@ def sketch(hashes: np.ndarray) -> str:
     if len(empty):  # hardly ever: the nearest full bin to the right
         right = np.flatnonzero(full)
         value[empty] = value[right[np.searchsorted(right, empty) % len(right)]]
-    return (value[::2] << 4 | value[1::2]).tobytes().hex()
+    digits = (_mix(value + _SALTS) >> np.uint64(64 - BITS)).astype(np.uint8)
+    return (digits[::2] << 4 | digits[1::2]).tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
