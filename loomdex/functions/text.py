@@ -32,8 +32,11 @@ SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\
 TRIVIAL_CHARS = 50
 
 
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def utf16_length(c: Column) -> Column:
@@ -98,6 +101,12 @@ def meaningful_words(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w)))
 
 
+def exploded_words(rows, text: str, *keep):
+    """Rows (*keep, word) of the meaningful words of ``text``: as above, with the tests behind the explosion, where they are compiled."""
+    d = rows.select(*keep, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"))).alias("word"))
+    return d.where((F.length("word") >= 3) & ~F.col("word").isin(*STOP_WORDS))
+
+
 def inline_overview(text: Column) -> Column:
     """One line of at most 200 characters; a placeholder where there is nothing to show."""
     flat = js_trim(F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), f"{SPACE}{{2,}}", " "))

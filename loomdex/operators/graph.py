@@ -85,8 +85,10 @@ def graph_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataF
 def levels(files: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     """(path, level): length of the longest import walk from a file, up to ``most``; cycles run into the bound.
 
-    Each round is a semi-join with the nodes of the round before, so nothing is multiplied.
+    Each round is a semi-join with the nodes of the round before, so nothing is multiplied; the edges are
+    kept for all rounds, in memory or on disk, and made anew where an executor is lost.
     """
+    edges = edges.select("src", "dst").persist()
     reached = files.select("path")
     out = reached.withColumn("level", F.lit(0))
     for k in range(1, most + 1):

@@ -9,22 +9,34 @@ from loomdex.functions import text as T
 # Kinds that the overview lists, and how many symbols at most.
 KEY_KINDS = ("class", "interface", "function", "struct", "trait")
 KEY_SYMBOLS = 50
+# Lines of a file's Markdown.
+LANGUAGE_LINE, ANALYZED_LINE = "**Language:** ", "**Analyzed:** "
+OVERVIEW_HEAD, DEPENDENCIES_HEAD, SYMBOLS_HEAD = "## Overview", "## Dependencies", "## Symbols"
+LINE_LABEL, PURPOSE_LABEL, BEHAVIOR_LABEL = "**Line:** ", "**Purpose:** ", "**Behavior:** "
+TRIVIAL_NOTE = "> **Trivial file** — no significant logic to analyze."
+FAILURE_NOTES = (
+    "> **Analysis failed** — this file could not be processed by the LLM.",
+    "> Common causes: file exceeds the model's context window, or the LLM returned unparseable output.",
+    "> Re-run the workflow with a larger context window or a cloud provider to analyze this file.",
+)
 # Fixed value: the overview of a file that is not worth a model call.
 TRIVIAL_OVERVIEW = "Trivial or empty file with no significant logic."
 
 
 def keyword_refs(rows: DataFrame, text: str, ref: str) -> DataFrame:
     """(word, ref), distinct: words of ``text`` with the reference they lead to."""
-    return rows.select(F.explode(T.meaningful_words(F.col(text))).alias("word"), F.col(ref).alias("ref")).distinct()
+    return T.exploded_words(rows, text, F.col(ref).alias("ref")).distinct()
 
 
-def keyword_index(rows: DataFrame, text: str, ref: str) -> DataFrame:
-    """(word, n_refs, refs): the inverted index as stored, references sorted.
+def keyword_index(rows: DataFrame, text: str, ref: str, block: Column | None = None) -> DataFrame:
+    """(word, block, n_refs, refs): the inverted index as stored, references sorted.
 
-    ``keyword_refs`` is the long form for words that lead to very many references; this one gathers
-    a word's references into one row, as index readers expect.
+    A word that leads to very many references has them in several rows, one a ``block``, so that no
+    task gathers them all; without one there is a single block. ``keyword_refs`` is the long form.
     """
-    return keyword_refs(rows, text, ref).groupBy("word").agg(F.count(F.lit(1)).alias("n_refs"), F.array_sort(F.collect_list("ref")).alias("refs"))
+    b = (F.lit(0) if block is None else block).alias("block")
+    words = T.exploded_words(rows, text, F.col(ref).alias("ref"), b).distinct()
+    return words.groupBy("word", "block").agg(F.count(F.lit(1)).alias("n_refs"), F.array_sort(F.collect_list("ref")).alias("refs"))
 
 
 def symbol_text() -> Column:
@@ -58,38 +70,34 @@ def key_symbols(symbols: DataFrame, most: int = KEY_SYMBOLS) -> DataFrame:
 
 def search(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(query, ref, score): references by how many of a query's words lead to them. index: (word, ref); terms: (query, text)."""
-    words = terms.select("query", F.explode(T.meaningful_words(F.col("text"))).alias("word"))
+    words = T.exploded_words(terms, "text", "query")
     return words.join(index, "word").groupBy("query", "ref").agg(F.count(F.lit(1)).alias("score"))
 
 
 def markdown() -> Column:
     """A context as Markdown; columns path, language, overview, dependencies, symbols, analyzed_at, chunk_count."""
     c = F.col
-    head = F.array(F.concat(F.lit("# "), c("path")), F.concat(F.lit("**Language:** "), c("language"), F.lit("  ")), F.concat(F.lit("**Analyzed:** "), c("analyzed_at"), F.lit("  ")), F.lit(""))
+    head = F.array(F.concat(F.lit("# "), c("path")), F.concat(F.lit(LANGUAGE_LINE), c("language"), F.lit("  ")), F.concat(F.lit(ANALYZED_LINE), c("analyzed_at"), F.lit("  ")), F.lit(""))
     none = F.array().cast("array<string>")
     bare = (c("chunk_count") == 0) & (c("overview") == TRIVIAL_OVERVIEW)
     failed = (F.coalesce(c("overview"), F.lit("")) == "") & (F.size("symbols") == 0) & (c("chunk_count") == 0)
-    failure = F.array(
-        F.lit("> **Analysis failed** — this file could not be processed by the LLM."),
-        F.lit("> Common causes: file exceeds the model's context window, or the LLM returned unparseable output."),
-        F.lit("> Re-run the workflow with a larger context window or a cloud provider to analyze this file."),
-    )
-    overview = F.when(F.coalesce(c("overview"), F.lit("")) != "", F.array(F.lit("## Overview"), c("overview"), F.lit(""))).otherwise(none)
+    failure = F.array(*(F.lit(x) for x in FAILURE_NOTES))
+    overview = F.when(F.coalesce(c("overview"), F.lit("")) != "", F.array(F.lit(OVERVIEW_HEAD), c("overview"), F.lit(""))).otherwise(none)
     ticked = lambda a, sep: F.array_join(F.transform(a, lambda x: F.concat(F.lit("`"), x, F.lit("`"))), sep)
-    deps = F.when(F.size("dependencies") > 0, F.concat(F.array(F.lit("## Dependencies")), F.transform("dependencies", lambda d: F.concat(F.lit("- `"), d, F.lit("`"))), F.array(F.lit("")))).otherwise(none)
+    deps = F.when(F.size("dependencies") > 0, F.concat(F.array(F.lit(DEPENDENCIES_HEAD)), F.transform("dependencies", lambda d: F.concat(F.lit("- `"), d, F.lit("`"))), F.array(F.lit("")))).otherwise(none)
 
     def one(s):
         opt = lambda title, v: F.when(F.coalesce(v, F.lit("")) != "", F.array(F.concat(F.lit(f"**{title}:** "), v, F.lit("  ")))).otherwise(none)
         return F.concat(
             F.array(F.concat(F.lit("### `"), s["name"], F.lit("` *("), s["kind"], F.lit(")*"))),
-            F.when(s["line"] > 0, F.array(F.concat(F.lit("**Line:** "), s["line"].cast("string"), F.lit("  ")))).otherwise(none),
-            F.array(F.concat(F.lit("**Purpose:** "), s["purpose"], F.lit("  ")), F.lit(""), F.concat(F.lit("**Behavior:** "), s["behavior"]), F.lit("")),
+            F.when(s["line"] > 0, F.array(F.concat(F.lit(LINE_LABEL), s["line"].cast("string"), F.lit("  ")))).otherwise(none),
+            F.array(F.concat(F.lit(PURPOSE_LABEL), s["purpose"], F.lit("  ")), F.lit(""), F.concat(F.lit(BEHAVIOR_LABEL), s["behavior"]), F.lit("")),
             opt("Parameters", s["parameters"]), opt("Returns", s["returns"]), opt("Limitations", s["limitations"]),
             opt("Used by", F.when(F.size(F.coalesce(s["used_by"], none)) > 0, ticked(s["used_by"], ", "))), F.array(F.lit("")),
         )
 
-    symbols = F.when(F.size("symbols") > 0, F.concat(F.array(F.lit("## Symbols"), F.lit("")), F.flatten(F.transform("symbols", one)))).otherwise(none)
-    body = F.when(bare, F.array(F.lit("> **Trivial file** — no significant logic to analyze."))).when(failed, failure).otherwise(F.concat(overview, deps, symbols))
+    symbols = F.when(F.size("symbols") > 0, F.concat(F.array(F.lit(SYMBOLS_HEAD), F.lit("")), F.flatten(F.transform("symbols", one)))).otherwise(none)
+    body = F.when(bare, F.array(F.lit(TRIVIAL_NOTE))).when(failed, failure).otherwise(F.concat(overview, deps, symbols))
     return F.array_join(F.concat(head, body), "\n")
 
 

@@ -15,6 +15,9 @@ from loomdex.sources import changes as changed, files as sources
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Documents whose references to one word may share a row.
+REFS_BLOCK = 10_000
+
 # SQL shared by the oracles
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 FILES = """f as (select source || '/' || lang || '/doc_' || doc_id || case lang when 'en' then '.ts' when 'fr' then '.py' when 'de' then '.rs' when 'es' then '.java' else '.txt' end as path,
@@ -42,10 +45,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""with {FILES}, k as (select path, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f)
-select word, count(*) as n_refs, string_agg(path, ',' order by path) as refs from k where length(word) >= 3 and word not in ({STOP}) group by word""")
+@query(f"""with {FILES}, k as (select path, seq // {REFS_BLOCK} as block, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f)
+select word, block, count(*) as n_refs, string_agg(path, ',' order by path) as refs from k where length(word) >= 3 and word not in ({STOP}) group by word, block""")
 def keyword_index(spark, d):
-    return index.keyword_index(corpus.files(spark, d), "content", "path").withColumn("refs", F.array_join("refs", ","))
+    i = index.keyword_index(corpus.files(spark, d), "content", "path", F.floor(F.col("seq") / REFS_BLOCK))
+    return i.withColumn("refs", F.array_join("refs", ","))
 
 
 @query(f"""with {FILES}, k as (select path, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f)
@@ -461,5 +465,6 @@ def workflow_contexts(spark, d):
     from loomdex.plans.workflow import analyze
 
     f = corpus.files(spark, d)
-    c = analyze(f, corpus.symbols(f), corpus.edges(spark, d))
+    at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = analyze(f, corpus.symbols(f), corpus.edges(spark, d), sources.Settings(concurrent_requests=at_once))
     return c.select("path", "language", "overview", F.size("symbols").alias("n_symbols"), F.size("dependencies").alias("n_dependencies"), "chunk_count")

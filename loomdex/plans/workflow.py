@@ -31,8 +31,8 @@ def analyze(files: DataFrame, symbols: DataFrame, edges: DataFrame, settings: Se
     deps = edges.groupBy(F.col("src").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("dependencies"))
     users = edges.groupBy(F.col("dst").alias("path")).agg(F.slice(F.array_sort(F.collect_set("src")), 1, USED_BY).alias("used_by"))
     budget = settings.max_chunk_chars()
-    chunk = chunks.chunks(symbols, files, budget)
-    group = chunks.groups(chunk, budget)
+    chunk = chunks.chunks(symbols, files, budget).persist()  # read by four branches below
+    group = chunks.groups(chunk, budget).persist()
     refs = chunks.references(chunk, edges, symbols)
     member = group.select("path", "group_no", F.explode("chunk_indexes").alias("chunk_index"))
     wanted = chunks.dependency_context(refs.join(member, ["path", "chunk_index"]), edges, symbols, ["group_no"])
@@ -54,11 +54,11 @@ def analyze(files: DataFrame, symbols: DataFrame, edges: DataFrame, settings: Se
     return j.select("path", "language", overview.alias("overview"), full.cast(f"array<{CONTEXT_SYMBOL}>").alias("symbols"), d.alias("dependencies"), F.lit(analyzed_at).alias("analyzed_at"), F.when(ok, F.col("n_chunks")).otherwise(0).alias("chunk_count"))
 
 
-def build_index(contexts: DataFrame, edges: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    """Index tables: files, symbols, keywords, totals."""
+def build_index(contexts: DataFrame, edges: DataFrame, files: DataFrame, blocks: int = 1) -> dict[str, DataFrame]:
+    """Index tables: files, symbols, keywords, totals. A word's references are dealt over ``blocks`` rows by their file."""
     f = index.file_index(contexts, graph.reverse_edges(edges, files.select("path", "seq")))
     s = contexts.join(files.select("path", "seq"), "path").select("path", "seq", F.posexplode("symbols").alias("pos", "s")).select(F.col("path").alias("file"), "seq", "pos", "s.*")
-    words = index.keyword_index(s.select(index.symbol_text().alias("text"), F.concat("file", F.lit("::"), "name").alias("ref")), "text", "ref")
+    words = index.keyword_index(s.select(index.symbol_text().alias("text"), F.concat("file", F.lit("::"), "name").alias("ref"), "file"), "text", "ref", F.pmod(F.xxhash64("file"), F.lit(blocks)))
     return {"files": f, "symbols": s, "keywords": words, "totals": index.index_totals(f, s)}
 
 
