@@ -36,7 +36,7 @@ class WaveletMatrix:
         return i
 
 
-class FMIndex:
+class BackwardIndex:
     """Index of several word sequences, each ended by a mark of its own that sorts below all words.
 
     ``repeats`` tells for each suffix-array row in how many rows the first ``length`` words recur.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomdex.llm import eliasfano as ef
 from loomdex.llm.common import binary_column, cut, shuffle_parts
-from loomdex.llm.fmindex import FMIndex
+from loomdex.llm.backward import BackwardIndex
 from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, deal, merge, new_folder, shard_of
 
 WINDOW = 35
@@ -208,7 +208,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         table = table.drop_duplicates(["m", "whole"])
         parts = [np.frombuffer(x, np.uint64) for x in table["words"]]
         words, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        again = FMIndex(words, sizes, window).recurring(words, sizes)
+        again = BackwardIndex(words, sizes, window).recurring(words, sizes)
         starts = np.cumsum(sizes) - sizes
         offsets = [np.flatnonzero(again[a : a + z]).tolist() for a, z in zip(starts, sizes, strict=True)]
         return pd.DataFrame({"m": table["m"], "whole": table["whole"], "offsets": offsets})
