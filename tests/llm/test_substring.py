@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from loomdex.llm import substring
-from loomdex.llm.fmindex import FMIndex
+from loomdex.llm.backward import BackwardIndex
 
 
 def plain(texts, window):
@@ -32,7 +32,7 @@ def test_index_against_counting(seed, window):
     words = np.array([x for p in parts for x in p], np.uint64)
     seen = Counter(tuple(p[i : i + window]) for p in parts for i in range(len(p) - window + 1))
     want = [i + window <= len(p) and seen[tuple(p[i : i + window])] > 1 for p in parts for i in range(len(p))]
-    assert FMIndex(words, sizes, window).recurring(words, sizes).tolist() == want
+    assert BackwardIndex(words, sizes, window).recurring(words, sizes).tolist() == want
 
 
 def corpus(seed):
