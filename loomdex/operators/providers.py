@@ -59,15 +59,21 @@ class Provider(Protocol):
     def complete(self, messages: list[Message], max_tokens: int = MAX_TOKENS_SINGLE) -> Reply: ...
 
 
+BATCH_HEAD = "Several files; answer with one object keyed by their paths."
+
+
 class Stub:
-    """Answers from the prompt alone: an overview line and one symbol for each declared name."""
+    """Answers from the prompt alone: an overview line and one symbol for each declared name, by file where there are several."""
 
     def complete(self, messages: list[Message], max_tokens: int = MAX_TOKENS_SINGLE) -> Reply:
         prompt = messages[-1].content
-        path = re.search(r"^File: (.*)$", prompt, re.M)
-        names = re.search(r"^Defines: (.*)$", prompt, re.M)
-        symbols = [{"name": n, "kind": "symbol", "line": 0, "purpose": f"Defines {n}.", "behavior": ""} for n in names[1].split(", ")] if names and names[1] else []
-        body = json.dumps({"overview": f"Overview of {path[1] if path else 'a file'}.", "symbols": symbols})
+        entries = {}
+        for part in re.split(r"(?m)^(?=File: )", prompt)[1:]:
+            path, names = part.split("\n", 1)[0][6:], re.search(r"^Defines: (.*)$", part, re.M)
+            symbols = [{"name": n, "kind": "symbol", "line": 0, "purpose": f"Defines {n}.", "behavior": ""} for n in names[1].split(", ")] if names and names[1] else []
+            entries.setdefault(path, {"overview": f"Overview of {path}.", "symbols": symbols})
+        whole = entries if prompt.startswith(BATCH_HEAD) else next(iter(entries.values()), {"overview": "Overview of a file.", "symbols": []})
+        body = json.dumps(whole)
         return Reply(body, len(prompt) // 4, len(body) // 4)
 
 
@@ -266,6 +272,18 @@ def prompt() -> Column:
     return F.concat(F.lit("File: "), c("path"), F.lit("\nLanguage: "), c("language"), part, line("Dependencies", c("dep_context")), line("Defines", F.array_join("symbol_names", ", ")), ask, F.lit("\n```\n"), c("combined_content"), F.lit("\n```"))
 
 
+def batch_section() -> Column:
+    """One file of a batch prompt: columns path, language, symbol_names, dep_context, content."""
+    line = lambda title, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"\n{title}: "), v)).otherwise("")
+    return F.concat(F.lit("File: "), "path", F.lit("\nLanguage: "), "language", line("Dependencies", F.col("dep_context")), line("Defines", F.array_join("symbol_names", ", ")), F.lit("\n```\n"), "content", F.lit("\n```"))
+
+
+def batch_prompt(sections: Column, paths: Column) -> Column:
+    """The prompt of a batch; the first two paths show the form of the answer."""
+    example = F.array_join(F.transform(F.slice(paths, 1, 2), lambda p: F.concat(F.lit('"'), p, F.lit('": {"overview": "...", "symbols": []}'))), ", ")
+    return F.concat(F.lit(BATCH_HEAD + "\nPaths: "), F.array_join(paths, ", "), F.lit("\nForm: {"), example, F.lit("}\n\n"), F.array_join(sections, "\n\n"))
+
+
 def call_model(rows: DataFrame, make: Callable[[], Provider] = Stub, rpm: int = 10_000, concurrency: int = 1, max_tokens: int = MAX_TOKENS_SINGLE) -> DataFrame:
     """``rows`` (with ``prompt``) plus reply, input_tokens, output_tokens, tokens_used, duration_ms and error.
 

@@ -78,3 +78,12 @@ def sessions(events: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame
     """(key, start, fires_at, n): bursts of events that end ``gap`` after their last one."""
     w = F.session_window(ts, gap)
     return events.groupBy(key, w).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("fires_at"), "n")
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """History is append-only and unbounded; displays take the last of it."""
+    runs.write.mode("append").parquet(path)
+
+
+def reset_runs(runs: DataFrame, path: str) -> None:
+    runs.limit(0).write.mode("overwrite").parquet(path)

@@ -54,6 +54,43 @@ def analyze(files: DataFrame, symbols: DataFrame, edges: DataFrame, settings: Se
     return j.select("path", "language", overview.alias("overview"), full.cast(f"array<{CONTEXT_SYMBOL}>").alias("symbols"), d.alias("dependencies"), F.lit(analyzed_at).alias("analyzed_at"), F.when(ok, F.col("n_chunks")).otherwise(0).alias("chunk_count"))
 
 
+def analyze_batches(files: DataFrame, symbols: DataFrame, edges: DataFrame, settings: Settings = Settings(), make=providers.Stub, analyzed_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
+    """Contexts as ``analyze`` gives them, with small files asked for together, six to a call.
+
+    A file's entry is looked up by its path, then by its base name. Files that are large, trivial, or
+    whose batch gave no usable answer go through ``analyze`` one by one. The answers are written to
+    the shared folder once, so that no later action calls again.
+    """
+    n = symbols.groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("symbol_names"))
+    none = F.array().cast("array<string>")
+    f = files.join(n, "path", "left").withColumns({"n_symbols": F.coalesce("n_symbols", F.lit(0)), "symbol_names": F.coalesce("symbol_names", none)})
+    plan = chunks.batch_plan(f.where(~T.is_trivial(F.col("n_symbols"), F.col("content"))).select("path", "seq", "size_bytes")).where("is_small").select("path", "batch")
+    small = f.join(plan, "path").join(chunks.export_context(edges, symbols), "path", "left")
+    sections = small.select("batch", "seq", "path", providers.batch_section().alias("section")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "section"))).alias("m"))
+    ask = sections.select(F.transform("m", lambda x: x["path"]).alias("paths"), providers.batch_prompt(F.transform("m", lambda x: x["section"]), F.transform("m", lambda x: x["path"])).alias("prompt"))
+    said = kept(providers.call_model(ask, make, settings.effective_rpm(), settings.concurrent_requests, providers.MAX_TOKENS_BATCH).select("paths", "reply"))
+    found = said.select(F.explode("paths").alias("path"), F.from_json(replies.extract_json("reply"), replies.BATCH_REPLY).alias("all")).where("all IS NOT NULL AND size(all) > 0")
+    got = found.select("path", replies.batch_entry(F.col("all"), F.col("path")).alias("r"))
+    deps = edges.groupBy(F.col("src").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("dependencies"))
+    users = edges.groupBy(F.col("dst").alias("path")).agg(F.slice(F.array_sort(F.collect_set("src")), 1, USED_BY).alias("used_by"))
+    j = got.join(files.select("path", "language"), "path").join(deps, "path", "left").join(users, "path", "left")
+    d = F.coalesce("dependencies", none)
+    full = F.transform(replies.normal_symbols(F.col("r.symbols")), lambda s: F.struct(*(s[x].alias(x) for x in ("name", "kind", "line", "purpose", "behavior", "parameters", "returns", "limitations")), F.coalesce("used_by", none).alias("used_by"), d.alias("uses")))
+    batched = j.select("path", "language", F.coalesce("r.overview", F.lit("")).alias("overview"), full.cast(f"array<{CONTEXT_SYMBOL}>").alias("symbols"), d.alias("dependencies"), F.lit(analyzed_at).alias("analyzed_at"), F.lit(1).alias("chunk_count"))
+    rest = files.join(found.select("path"), "path", "left_anti")
+    return batched.unionByName(analyze(rest, symbols, edges, settings, make, analyzed_at))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder (a temporary one where the session names none)."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomdex-"))
+    return df.checkpoint()
+
+
 def build_index(contexts: DataFrame, edges: DataFrame, files: DataFrame, blocks: int = 1) -> dict[str, DataFrame]:
     """Index tables: files, symbols, keywords, totals. A word's references are dealt over ``blocks`` rows by their file."""
     f = index.file_index(contexts, graph.reverse_edges(edges, files.select("path", "seq")))
@@ -73,7 +110,7 @@ def full_run(files: DataFrame, store: DataFrame | None = None, settings: Setting
         mark = cache.partition_by_cache(hashed, store)
         todo = mark.where("NOT cached")
         cached = mark.where("cached").select("path", "content_hash").join(store.drop("path").dropDuplicates(["content_hash"]), "content_hash").drop("content_hash")
-    fresh = analyze(todo, symbols, edges, settings, make, analyzed_at)
+    fresh = (analyze_batches if settings.batch_files() else analyze)(todo, symbols, edges, settings, make, analyzed_at)
     contexts = fresh if cached is None else cached.unionByName(fresh, allowMissingColumns=True)
     new_store = fresh.where("chunk_count > 0").join(todo.select("path", "content_hash"), "path")
     return {"graph_files": files.drop("content"), "graph_symbols": symbols, "edges": edges, "contexts": contexts, "cache": new_store, "branch": hashed.select("path", "content_hash")} | {f"index_{k}": v for k, v in build_index(contexts, edges, files).items()}

@@ -68,3 +68,16 @@ def limited(events: DataFrame, key: str, limit: int, window_ms: int = 60_000, ts
 
     kind = dict(events.dtypes)[key]
     return events.select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, allowed boolean", "taken array<long>", "append", "NoTimeout")
+
+
+def poll(spark: SparkSession, probe: Callable[[], tuple[str, str]], act: Callable[[str, str, str], None], checkpoint: str, every: str = "5 seconds"):
+    """Asks ``probe`` for (branch, commit) at each tick and tells ``act`` (kind, branch, commit) what changed: 'branch' or 'commit'."""
+    last: list[tuple[str, str]] = []
+
+    def tick(_batch: DataFrame, _number: int) -> None:
+        now = probe()
+        if last and now != last[0]:
+            act("branch" if now[0] != last[0][0] else "commit", *now)
+        last[:] = [now]
+
+    return spark.readStream.format("rate").load().writeStream.foreachBatch(tick).trigger(processingTime=every).option("checkpointLocation", checkpoint)

@@ -42,7 +42,7 @@ def test_cached_contexts_keep_their_own_paths(spark):
     store = workflow.full_run(files(spark, TREE))["cache"].cache()
     out = workflow.full_run(files(spark, tree), store, make=Failing)
     c = {r.path: r for r in out["contexts"].collect()}
-    assert c["src/copy.ts"].overview == "Overview of src/u.ts." and c["src/u.ts"].chunk_count == 3 and len(c) == 6
+    assert c["src/copy.ts"].overview == "Overview of src/u.ts." and c["src/u.ts"].chunk_count == 1 and len(c) == 6
 
 
 def test_incremental(spark):
@@ -60,6 +60,45 @@ def test_incremental(spark):
     assert "src/new.ts" not in state and "app/m.py" not in state and state["src/u.ts"] == {r.path: r.content_hash for r in branch.collect()}["src/u.ts"]
 
 
+def test_batches_and_fallback(spark):
+    class Forgetful:
+        """Answers batches by base name for one file, and not at all for those with a marker."""
+
+        def complete(self, messages, max_tokens=1):
+            p = messages[-1].content
+            if p.startswith(providers.BATCH_HEAD):
+                return providers.Reply("sorry" if "secret" in p else '{"u.ts": {"overview": "By name.", "symbols": [{"name": "q"}]}}')
+            return providers.Stub().complete(messages)
+
+    f = files(spark, TREE)
+    symbols, edges = workflow.parse(f)
+    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges).collect()}
+    assert set(c) == set(TREE) and c["src/u.ts"].overview == "Overview of src/u.ts." and c["src/u.ts"].chunk_count == 1 and c["src/empty.ts"].chunk_count == 0
+    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges, make=Forgetful).collect()}
+    assert c["src/u.ts"].overview == "By name." and [s.name for s in c["src/u.ts"].symbols] == ["q"] and c["src/a.ts"].overview == ""
+    f = files(spark, TREE | {"src/secret.ts": "// secret\n" + TREE["src/u.ts"]})
+    symbols, edges = workflow.parse(f)
+    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges, make=Forgetful).collect()}
+    assert c["src/u.ts"].overview == "Overview of src/u.ts." and c["src/u.ts"].chunk_count == 3
+
+
+def test_poll(spark, tmp_path):
+    answers = iter([("main", "1"), ("main", "2"), ("dev", "2")])
+    state, told = [("main", "1")], []
+
+    def probe():
+        state[0] = next(answers, state[0])
+        return state[0]
+
+    q = events.poll(spark, probe, lambda *x: told.append(x), f"{tmp_path}/c", "200 milliseconds").start()
+    for _ in range(300):
+        if len(told) == 2:
+            break
+        time.sleep(0.1)
+    q.stop()
+    assert told == [("commit", "main", "2"), ("branch", "dev", "2")]
+
+
 def test_single_file_and_failure(spark):
     assert [r.path for r in workflow.single_file(files(spark, TREE), "src/a.ts").collect()] == ["src/a.ts"]
     r = workflow.single_file(files(spark, TREE), "src/a.ts", make=Failing).first()
