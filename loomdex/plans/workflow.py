@@ -15,10 +15,10 @@ USED_BY = 10
 
 def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(symbols, edges) of files (path, content, seq). Parsing is done once a file; both come from it."""
-    p = parsing.parse_files(files.select("path", "content", "seq")).select("path", "seq", "parsed")
+    p = kept(parsing.parse_files(files.select("path", "content", "seq")).select("path", "seq", "parsed"))
     symbols = p.select("path", "seq", F.posexplode("parsed.symbols").alias("pos", "s")).select("path", "seq", "pos", "s.*")
     specs = p.select(F.col("path").alias("src"), F.posexplode("parsed.specs").alias("pos", "spec"))
-    return symbols, graph.import_edges(specs, files.select("path", "seq"))
+    return symbols, kept(graph.import_edges(specs, files.select("path", "seq")))
 
 
 def analyze(files: DataFrame, symbols: DataFrame, edges: DataFrame, settings: Settings = Settings(), make=providers.Stub, analyzed_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
@@ -38,7 +38,8 @@ def analyze(files: DataFrame, symbols: DataFrame, edges: DataFrame, settings: Se
     wanted = chunks.dependency_context(refs.join(member, ["path", "chunk_index"]), edges, symbols, ["group_no"])
     counts = group.groupBy("path").agg(F.count(F.lit(1)).alias("n_groups"))
     ask = group.join(counts, "path").join(wanted, ["path", "group_no"], "left").join(files.select("path", "language"), "path")
-    said = providers.call_model(ask.select("path", "group_no", providers.prompt().alias("prompt")), make, settings.effective_rpm(), settings.concurrent_requests)
+    # written once, so that no later action calls again
+    said = kept(providers.call_model(ask.select("path", "group_no", providers.prompt().alias("prompt")), make, settings.effective_rpm(), settings.concurrent_requests).drop("prompt"))
     r = said.select("path", "group_no", replies.parse_reply(F.col("reply")).alias("r"))
     per = r.groupBy("path").agg(
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("group_no", F.col("r.overview").alias("overview")))), lambda x: F.coalesce(x["overview"], F.lit(""))), lambda x: x != ""), "\n\n").alias("overview"),
@@ -111,6 +112,7 @@ def full_run(files: DataFrame, store: DataFrame | None = None, settings: Setting
         todo = mark.where("NOT cached")
         cached = mark.where("cached").select("path", "content_hash").join(store.drop("path").dropDuplicates(["content_hash"]), "content_hash").drop("content_hash")
     fresh = (analyze_batches if settings.batch_files() else analyze)(todo, symbols, edges, settings, make, analyzed_at)
+    fresh = kept(fresh)
     contexts = fresh if cached is None else cached.unionByName(fresh, allowMissingColumns=True)
     new_store = fresh.where("chunk_count > 0").join(todo.select("path", "content_hash"), "path")
     return {"graph_files": files.drop("content"), "graph_symbols": symbols, "edges": edges, "contexts": contexts, "cache": new_store, "branch": hashed.select("path", "content_hash")} | {f"index_{k}": v for k, v in build_index(contexts, edges, files).items()}
@@ -126,7 +128,7 @@ def incremental_run(files: DataFrame, branch: DataFrame, contexts: DataFrame, se
     diff = changes.snapshot_diff(branch, now.select("path", "content_hash"))
     gone = diff.where("change = 'deleted'").select("path")
     todo = now.join(diff.where("change <> 'deleted'").select("path"), "path", "left_semi")
-    fresh = analyze(todo, symbols, edges, settings, make, analyzed_at)
+    fresh = kept(analyze(todo, symbols, edges, settings, make, analyzed_at))
     ok = fresh.where(f"chunk_count > 0 OR overview = '{index.TRIVIAL_OVERVIEW}'")
     merged = cache.merge_contexts(contexts, ok, diff, gone)
     state = cache.merge_branch(branch, todo.join(ok.select("path"), "path", "left_semi").select("path", "content_hash"), gone)
