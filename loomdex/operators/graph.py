@@ -92,7 +92,7 @@ def levels(files: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     reached = files.select("path")
     out = reached.withColumn("level", F.lit(0))
     for k in range(1, most + 1):
-        reached = edges.select(F.col("src").alias("path"), "dst").join(reached.select(F.col("path").alias("dst")), "dst", "left_semi").select("path").distinct()
+        reached = edges.select(F.col("src").alias("path"), "dst").join(reached.select(F.col("path").alias("dst")), "dst", "left_semi").select("path").distinct().persist()  # the next round and the union both read it
         out = out.unionByName(reached.withColumn("level", F.lit(k)))
     return out.groupBy("path").agg(F.max("level").alias("level"))
 
