@@ -105,7 +105,7 @@ def track(data: bytes, trak: list) -> dict:
         raise ValueError("no chunk offsets")
     runs, chunks = _table(data, stsc, ">u4", 3), chunks[:, 0]
     per = np.zeros(len(chunks), np.int64)
-    for (first, count, _), after in zip(runs, [*runs[1:, 0], len(chunks) + 1], strict=True):
+    for (first, count, _), after in zip(runs, [*runs[1:, 0], len(chunks) + 1], strict=False):
         per[first - 1 : after - 1] = count
     if per.sum() != len(sizes) or times[:, 0].sum() != len(sizes):
         raise ValueError("sample counts disagree")
