@@ -37,6 +37,16 @@ def test_large_sizes_compact_sizes_and_all_keyframes():
     assert found["duration_s"] == 2.5 and media.samples(data, found) == bytes(range(10))
 
 
+def test_no_samples():
+    import struct
+
+    box, none = media._box, struct.pack(">II", 0, 0)
+    stbl = box(b"stbl", box(b"stsd", struct.pack(">II", 0, 1), box(b"avc1", bytes(70))), *(box(k, none) for k in (b"stts", b"stsc", b"stco")), box(b"stsz", struct.pack(">III", 0, 0, 0)))
+    mdhd = box(b"mdhd", struct.pack(">IIIIII", 0, 0, 0, 90_000, 0, 0))
+    found = media.probe(box(b"moov", box(b"trak", box(b"mdia", mdhd, box(b"minf", stbl)))))
+    assert found["codec"] == "avc1" and len(found["offsets"]) == len(found["keys"]) == 0 and media.samples(b"", found) == b""
+
+
 def test_broken_media(spark):
     good = media.wrap(b"a" * 64)
     bad = [None, b"", b"abc", b"\0\0\0\x05moov", good[:-20], good.replace(b"stco", b"xxxx"), b"\0\0\0\x08moov" * 3, good[:40] + b"\xff" * 30 + good[70:]]
