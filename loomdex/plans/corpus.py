@@ -26,6 +26,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size_bytes"), F.col("doc_id").alias("seq")).withColumn("language", T.language_of(F.col("path")))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files, dealt over all cores where the scan has fewer parts than there are cores (one small file is one part).
+
+    A large table has parts enough and is not moved.
+    """
+    f, cores = files(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return f.repartition(cores) if f.rdd.getNumPartitions() < cores else f
+
+
 def symbols(f: DataFrame) -> DataFrame:
     """Every third line, from the second, declares its first word."""
     lines = f.select("path", "seq", F.posexplode(F.split("content", "\n", -1)).alias("idx", "text"))

@@ -48,14 +48,14 @@ def query(sql: str | None = None):
 @query(f"""with {FILES}, k as (select path, seq // {REFS_BLOCK} as block, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f)
 select word, block, count(*) as n_refs, string_agg(path, ',' order by path) as refs from k where length(word) >= 3 and word not in ({STOP}) group by word, block""")
 def keyword_index(spark, d):
-    i = index.keyword_index(corpus.files(spark, d), "content", "path", F.floor(F.col("seq") / REFS_BLOCK))
+    i = index.keyword_index(corpus.texts(spark, d), "content", "path", F.floor(F.col("seq") / REFS_BLOCK))
     return i.withColumn("refs", F.array_join("refs", ","))
 
 
 @query(f"""with {FILES}, k as (select path, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f)
 select word, count(*) as n from k where length(word) >= 3 and word not in ({STOP}) group by word order by n desc, word limit 50""")
 def keyword_top_terms(spark, d):
-    words = index.keyword_refs(corpus.files(spark, d), "content", "path")
+    words = index.keyword_refs(corpus.texts(spark, d), "content", "path")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
@@ -64,7 +64,7 @@ b as (select item_id as query, unnest(list_distinct(regexp_split_to_array(lower(
 select query, path as ref, count(*) as score from b join k using (word) where length(word) >= 3 and word not in ({STOP}) group by all having score >= 20""")
 def keyword_search(spark, d):
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return index.search(index.keyword_refs(corpus.files(spark, d), "content", "path"), terms).where("score >= 20")
+    return index.search(index.keyword_refs(corpus.texts(spark, d), "content", "path"), terms).where("score >= 20")
 
 
 @query(f"""with {FILES} select case lang when 'en' then 'typescript' when 'fr' then 'python' when 'de' then 'rust' when 'es' then 'java' else 'unknown' end as language,
@@ -131,7 +131,7 @@ def cache_partition(spark, d):
 @query(f"""with {FILES}, {LINES}, {SYMBOLS}, {REGIONS}, c as (select r.path, n, sha256(array_to_string(string_split(f.content, chr(10))[start_line + 1:end_line + 1], chr(10))) as content_hash from r join f using (path))
 select path, n as chunk_index, content_hash, n % 3 <> 0 or exists (select 1 from c as o where o.path = c.path and o.content_hash = c.content_hash and o.n % 3 <> 0) as reused from c""")
 def chunk_delta(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     c = chunks.chunks(corpus.symbols(f), f).where(F.size("symbol_names") > 0)
     old = c.where("chunk_index % 3 <> 0").select("path", F.col("content_hash").alias("chunk_hash"), "chunk_index", F.lit("x").alias("result"))
     return cache.chunk_delta(c, old).select("path", "chunk_index", "content_hash", "reused")
@@ -151,7 +151,7 @@ def request_estimate(spark, d):
 
 @query(f"with {FILES}, {LINES}, {SYMBOLS}, {REGIONS} select path, n, name, kind, start_line, end_line from r")
 def symbol_regions(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     return chunks.regions(corpus.symbols(f), f)
 
 
@@ -159,7 +159,7 @@ def symbol_regions(spark, d):
  union all select path, 0, null, 0, (len(string_split(content, chr(10))) - 1)::int, content from f where path not in (select path from s) and length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 50)
 select path, n::int as chunk_index, path || '::chunk_' || n as id, sha256(content) as content_hash, coalesce(name, '') as symbol, start_line, end_line, length(content)::int as n_chars from t""")
 def symbol_chunks(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     c = chunks.chunks(corpus.symbols(f), f, max_chars=10_000_000)
     return c.select("path", "chunk_index", "id", "content_hash", F.array_join("symbol_names", ",").alias("symbol"), "start_line", "end_line", F.length("content").alias("n_chars"))
 
@@ -172,7 +172,7 @@ def line_chunks(spark, d):
 
 @query()
 def document_line_chunks(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     return f.select("path", F.posexplode(T.chunk_lines(F.col("content"), 2000)).alias("n", "chunk")).select("path", "n", F.length("chunk").alias("n_chars"))
 
 
@@ -181,7 +181,7 @@ c as (select r.path, n, unnest(list_distinct(regexp_split_to_array(array_to_stri
 i as (select distinct e.src as path, s.name from e join s on s.path = e.dst where length(s.name) > 2 and regexp_matches(s.name, '^[A-Za-z0-9_]+$'))
 select c.path, c.n as chunk_index, name from c join i using (path, name)""")
 def chunk_refs(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     s = corpus.symbols(f)
     plain = s.where(F.col("name").rlike("^[A-Za-z0-9_]+$"))
     return chunks.references(chunks.chunks(s, f).where(F.size("symbol_names") > 0), corpus.edges(spark, d), plain)
@@ -189,7 +189,7 @@ def chunk_refs(spark, d):
 
 @query()
 def chunk_refs_any_name(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     s = corpus.symbols(f)
     return chunks.references(chunks.chunks(s, f), corpus.edges(spark, d), s)
 
@@ -197,7 +197,7 @@ def chunk_refs_any_name(spark, d):
 @query(f"""with {FILES}, {LINES}, {SYMBOLS}, {EDGES}, x2 as (select src as path, e.pos, dst, string_agg(name || '(' || kind || ')', ', ' order by s.pos) as names from e join s on s.path = e.dst group by all)
 select path, string_agg('`' || dst || '` exports: ' || names, '; ' order by pos) as dep_context from x2 group by path""")
 def export_context(spark, d):
-    return chunks.export_context(corpus.edges(spark, d), corpus.symbols(corpus.files(spark, d)))
+    return chunks.export_context(corpus.edges(spark, d), corpus.symbols(corpus.texts(spark, d)))
 
 
 @query(f"""with {FILES}, {LINES}, {SYMBOLS}, {EDGES}, k as (select distinct path, unnest(regexp_split_to_array(content, '[^A-Za-z0-9_]+')) as name from f),
@@ -205,7 +205,7 @@ u as (select e.src as path, e.pos as edge, e.dst, s.pos, s.name, s.kind from e j
 x2 as (select path, edge, dst, string_agg(name || '(' || kind || ')', ', ' order by pos) as names from u group by all)
 select path, string_agg('`' || dst || '`: ' || names, '; ' order by edge) as dep_context from x2 group by path""")
 def dep_context(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     s, e = corpus.symbols(f), corpus.edges(spark, d)
     whole = f.select("path", F.lit(0).alias("chunk_index"), "content")
     plain = s.where(F.col("name").rlike("^[A-Za-z0-9_]+$"))
@@ -273,7 +273,7 @@ def topo_dfs(spark, d):
 
 @query()
 def pack_groups(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     g = chunks.groups(chunks.chunks(corpus.symbols(f), f, 2000), 2000)
     return g.select("path", "group_no", F.array_join("chunk_indexes", ",").alias("chunk_indexes"), F.size("symbol_names").alias("n_symbols"), T.utf16_length(F.col("combined_content")).alias("size"))
 
@@ -393,7 +393,7 @@ def key_symbols(spark, d):
 
 @query(f"with {FILES}, {LINES}, {SYMBOLS} select name, count(*) as n, string_agg(path || ':' || line, ',' order by seq, pos) as places from s group by name")
 def symbol_index(spark, d):
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     s = corpus.symbols(f).select("name", "kind", F.col("path").alias("file"), "line", F.lit("").alias("purpose"), F.lit("").alias("behavior"), F.lit(None).cast("string").alias("limitations"), "seq", "pos")
     places = F.array_join(F.transform("entries", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"))), ",")
     return index.symbol_index(s).select("name", F.size("entries").cast("long").alias("n"), places.alias("places"))
@@ -408,7 +408,7 @@ def index_totals(spark, d):
 @query(f"""with {FILES}, v as (select *, regexp_replace(regexp_replace(regexp_replace(content, '[\\r\\n]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as flat from f)
 select source || '/' || lang as dir, row_number() over (partition by source, lang order by path) ::int as place, '- **`' || path || '`** — ' || case when flat = '' then '_No overview available_' when length(flat) > 200 then flat[1:197] || '…' else flat end as line from v""")
 def overview_lines(spark, d):
-    return index.overview_lines(corpus.files(spark, d).withColumn("overview", F.col("content")))
+    return index.overview_lines(corpus.texts(spark, d).withColumn("overview", F.col("content")))
 
 
 @query("""select conv_id, coalesce(string_agg(text, chr(10) order by turn) filter (role = 'system'), '') as system_text, count(*) filter (role <> 'system') as n_messages,
@@ -464,7 +464,7 @@ def workflow_contexts(spark, d):
     """The whole run with the offline provider: files to contexts."""
     from loomdex.plans.workflow import analyze
 
-    f = corpus.files(spark, d)
+    f = corpus.texts(spark, d)
     at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
     c = analyze(f, corpus.symbols(f), corpus.edges(spark, d), sources.Settings(concurrent_requests=at_once))
     return c.select("path", "language", "overview", F.size("symbols").alias("n_symbols"), F.size("dependencies").alias("n_dependencies"), "chunk_count")

@@ -115,9 +115,9 @@ def include_scan(all_files: DataFrame, entries: DataFrame) -> DataFrame:
     up = all_files.withColumn("entry", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     clean = entries.select(F.regexp_replace("entry", r"^\./|/+$", "").alias("entry"))
     hit = up.join(clean.distinct(), "entry", "left_semi").select("path").distinct()
-    whole = clean.where("entry IN ('', '.')").limit(1).select(F.lit(True).alias("all"))
-    named = all_files.join(hit, "path", "left_semi")
-    return named.unionByName(all_files.join(F.broadcast(whole), F.lit(True), "left_semi")).dropDuplicates(["path"])  # one row at most
+    whole = clean.agg(F.coalesce(F.max(F.col("entry").isin("", ".")), F.lit(False)).alias("whole")).scalar()
+    mark = all_files.join(hit.withColumn("__named", F.lit(True)), "path", "left")
+    return mark.where(F.col("__named").isNotNull() | whole).drop("__named")
 
 
 def size_capped(d: DataFrame, max_kb: int) -> DataFrame:
