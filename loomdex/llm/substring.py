@@ -21,7 +21,7 @@ WINDOW = 35
 GRAM = 16
 BATCH_TOKENS = 500_000
 #: A hash with more distinct segments than this is settled by counting single windows instead.
-HOT = 4096
+HOT = 1024
 #: Distinct segments of one shard, about.
 SHARD_SEGMENTS = 8192
 
@@ -216,20 +216,42 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     in_shard = F.pmod(F.xxhash64("m"), F.lit(max(shards, n_asked // SHARD_SEGMENTS))).alias("shard")
     indexed = texts.where("NOT hot").select("m", "whole", "words", in_shard).groupBy("shard").applyInPandas(index, "m long, whole long, offsets array<int>")
 
-    def windows(batches):
+    def two_hashes(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        w = np.frombuffer(x, np.uint64)
+        at = np.arange(len(w) - window + 1)
+        return tuple(Sequence(v).hash(at, window) >> np.uint64(64 - HASH_BITS) for v in (w, _mix(w)))
+
+    def count_windows(which):
+        def run(batches):
+            tally = Tally()
+            for b in batches:
+                found = [two_hashes(x)[which] for x in b.column(0).to_pylist()]
+                if found:
+                    tally.add(*np.unique(np.concatenate(found), return_counts=True))
+            h, c = tally.fold()
+            yield from deal(shard_of(h, shards), shards, h, np.minimum(c, 2))
+
+        return run
+
+    # a window of a hot hash recurs if both of its hashes do; counts are folded in each task, so no window is a row
+    single = cut(texts.where("hot").dropDuplicates(["m", "whole"]).select("m", "whole", "words"))
+    for which, kind in enumerate(("often", "often2")):
+        single.select("words").mapInArrow(count_windows(which), ROWS).groupBy("shard").applyInPandas(keep(kind, 2), "n long").count()
+
+    def look_up(batches):
         import pyarrow as pa
 
         for b in batches:
-            m, whole = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, x in enumerate(b.column(2).to_pylist()):
-                seq = Sequence(np.frombuffer(x, np.uint64))
-                at = np.arange(len(seq.w) - window + 1)
-                h, turned = seq.hash(at, window), Sequence(_mix(seq.w)).hash(at, window)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m[i])), pa.array(np.full(len(at), whole[i])), pa.array(at), pa.array(h.view(np.int64)), pa.array(turned.view(np.int64))], ["m", "whole", "i", "a", "b"])
-
-    single = cut(texts.where("hot").dropDuplicates(["m", "whole"]).select("m", "whole", "words").mapInArrow(windows, "m long, whole long, i long, a long, b long"))
-    often = single.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a", "b")
-    counted = single.join(often, ["a", "b"]).groupBy("m", "whole").agg(F.collect_list(F.col("i").cast("int")).alias("offsets"))
+            pairs = [two_hashes(x) for x in b.column(2).to_pylist()]
+            if not pairs:
+                continue
+            sizes = np.array([len(x) for x, _ in pairs])
+            again = _present(files, "often", np.concatenate([x for x, _ in pairs])) & _present(files, "often2", np.concatenate([y for _, y in pairs]))
+            starts = np.cumsum(sizes) - sizes
+            offsets = [np.flatnonzero(again[a : a + n]).tolist() for a, n in zip(starts, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(offsets, pa.list_(pa.int32()))], ["m", "whole", "offsets"])
+
+    counted = single.mapInArrow(look_up, "m long, whole long, offsets array<int>").where(F.size("offsets") > 0)
     some = indexed.where(F.size("offsets") > 0).union(counted).join(alone, ["m", "whole"], "left_semi")
     every = wholes.where("n > 1").select("m", "whole", F.lit(None).cast("array<int>").alias("offsets"))
     return found.join(some.union(every), ["m", "whole"]).select("k", "th", "start", "size", "offsets")
