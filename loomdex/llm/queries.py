@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_linededup": linededup.ORACLE, "op8_urlfilter": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op1_substring": substring.ORACLE, "op2_mixing": mixing.ORACLE, "op6_linededup": linededup.ORACLE, "op8_urlfilter": urlfilter.ORACLE}

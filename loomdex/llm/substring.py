@@ -302,3 +302,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     out = joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, spans array<struct<start:long,length:long>>")
     return out.withColumn("kept", F.col("kept").cast("string"))
+
+
+ORACLE = f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+x as (select doc_id, i, md5(array_to_string(ws[i:i + {WINDOW - 1}], ' ')) as k from (select doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) as i from w)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by k) as n from x) where n > 1),
+g as (select distinct doc_id, unnest(range(i, i + {WINDOW})) as p, true as gone from r),
+a as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+s as (select a.doc_id, count(gone) as n_removed, string_agg(word, ' ' order by a.p) filter (gone is null) as kept from a left join g on a.doc_id = g.doc_id and a.p = g.p group by a.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join s using (doc_id)
+"""
