@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from loomdex.llm import eliasfano as ef, lm
+from tests.llm.cases import LONG, awkward
 
 
 @settings(max_examples=60, deadline=None)
@@ -86,3 +87,11 @@ def test_nothing_to_train_on(spark):
     only = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
     rows = lm.fit_and_score(spark.createDataFrame([(i, "a b") for i in only], "doc_id long, text string")).collect()
     assert [(x.n_known, x.base_score, x.score) for x in rows] == [(0, 0.0, 0.0)] * 2
+
+
+def test_awkward(spark):
+    df = awkward(spark)
+    rows = lm.fit_and_score(df).collect()
+    assert len(rows) == df.count() and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
+    assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5, 10)} == {1} and {r.n_tokens for r in rows if r.doc_id == 6} == {len(LONG.split()) + 1}
+    assert len({(r.n_known, r.score) for r in rows if r.doc_id == 2}) == 1 and not any(r.held_out for r in rows if r.doc_id is None)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from loomdex.llm import packing
+from tests.llm.cases import awkward
 
 
 def tokenizer():
@@ -97,3 +98,13 @@ def test_examples(spark):
     df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([(10, 5), (5000, 1), (0, 0), (None, 1), (4000, None), (4096, 4096), (10, 5)])], "example_id long, tokens long, loss_tokens long")
     rows = {r.example_id: r for r in packing.pack_examples(df.coalesce(1)).collect()}
     assert len(rows) == 7 and all(rows[i].sequence_id is None for i in (1, 2, 3, 4)) and rows[0].sequence_id == rows[6].sequence_id
+
+
+def test_awkward(spark):
+    df = awkward(spark)
+    rows = packing.pack_texts(df).collect()
+    per = defaultdict(int)
+    for r in rows:
+        per[r.doc_id] += r.length
+        assert r.length > 0 and r.offset + r.length <= 4096
+    assert per[3] == per[4] == per[5] == per[10] == 1 and per[2] == 2 * per[1] and None in per and per[6] == 60_001

@@ -7,6 +7,7 @@ import pytest
 
 from loomdex.llm import substring
 from loomdex.llm.backward import BackwardIndex
+from tests.llm.cases import LONG, awkward
 
 
 def plain(texts, window):
@@ -81,3 +82,12 @@ def test_query(spark):
     for r in rows:
         n, gone, kept = want[r.doc_id]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_awkward(spark):
+    df = awkward(spark)
+    rows = substring.dedup_substrings(df).collect()
+    assert len(rows) == df.count()
+    n = len(LONG.split())
+    assert {(r.n_words, r.n_removed, r.kept) for r in rows if r.doc_id == 6} == {(n, n, "")}
+    assert {(r.n_words, r.n_removed) for r in rows if r.doc_id in (1, 2, None)} == {(20, 0)}
