@@ -49,6 +49,13 @@ def binary_column(batch, name: str) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def slices(batches, rows: int):
+    """Arrow batches in parts of at most ``rows`` rows, so that copies made of a part stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def bit_of(bits: Column, at: Column) -> Column:
     """Bit ``at`` (from 0) of a bitmap of Spark's bitmap functions; false outside it or where it is null."""
     byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -12,7 +12,7 @@ from math import ceil
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from loomdex.llm.common import binary_column
+from loomdex.llm.common import binary_column, slices
 
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 256
@@ -246,7 +246,7 @@ def pack_texts(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text",
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
         serial = 0
-        for b in batches:
+        for b in slices(batches, 512):
             id_type = b.schema.field(0).type
             doc_ids = b.column(0).to_pylist()
             for doc_id, words in zip(doc_ids, binary_column(b, "text"), strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from loomdex.llm.common import binary_column, shuffle_parts
+from loomdex.llm.common import binary_column, shuffle_parts, slices
 from loomdex.llm.graph import components
 
 RADIUS = 3
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> D
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, 512):
             fps = np.array([fingerprint(x or b"", width) for x in binary_column(b, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
