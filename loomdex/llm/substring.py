@@ -176,7 +176,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # written first, so that the join has an exchange on either side and Spark may split a hot hash
     variants = cut(wholes.groupBy("m").agg(F.count(F.lit(1)).alias("variants")))
     asked = wholes.join(variants, "m").where("variants > 1 OR twice")
-    hot = asked.where(F.col("variants") > HOT).select("m").distinct()
+    hot = variants.where(F.col("variants") > HOT).select("m")
 
     def name(batches):
         for b in batches:
