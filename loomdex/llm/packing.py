@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from loomdex.llm.common import binary_column, slices
