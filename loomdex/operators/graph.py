@@ -97,10 +97,34 @@ def levels(files: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     return out.groupBy("path").agg(F.max("level").alias("level"))
 
 
+def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, level): length of the longest import walk from a file, however long; null on a cycle and for what imports from one.
+
+    Each round takes away the edges to files that have a level; a file whose last edge went gets the round's number.
+    Rounds are as many as the longest chain without cycles has files; each is checkpointed, so plans stay short.
+    """
+    from loomdex.plans.workflow import kept
+
+    nodes = kept(files.select("path").distinct())
+    rest = kept(edges.select("src", "dst").join(nodes.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
+    done = nodes.join(rest.select(F.col("src").alias("path")), "path", "left_anti")
+    out, k = done.withColumn("level", F.lit(0)), 0
+    while not rest.isEmpty():
+        ended = done.select(F.col("path").alias("dst"))
+        freed = rest.join(ended, "dst", "left_semi").select("src").distinct()
+        rest = kept(rest.join(ended, "dst", "left_anti").select("src", "dst"))
+        done = kept(freed.join(rest, "src", "left_anti").select(F.col("src").alias("path")))
+        if done.isEmpty():
+            break
+        k += 1
+        out = out.unionByName(done.withColumn("level", F.lit(k)))
+    return out.unionByName(rest.select(F.col("src").alias("path")).distinct().withColumn("level", F.lit(None).cast("int")))
+
+
 def dependency_order(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, position): depth-first post-order over files in scan order, imports first, cycles cut where met.
 
-    The order is one walk, so it runs in one task and holds the paths and edges in memory; ``levels``
+    The order is one walk, so it runs in one task and holds the paths and edges in memory; ``depths``
     is the distributed alternative.
     """
     rows = files.select("path", "seq").join(edges.groupBy(F.col("src").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("deps")), "path", "left")

@@ -92,6 +92,16 @@ def test_order_of_dependencies(spark):
     assert {r.path: r.level for r in graph.levels(f, e, 3).collect()} == {"a": 3, "b": 0, "c": 3, "d": 3, "e": 3, "f": 0}
 
 
+def test_depths_have_no_bound_and_mark_cycles(spark):
+    names = [f"n{i}" for i in range(14)]
+    f = spark.createDataFrame([(p,) for p in [*names, "x", "y", "z", "s", "alone"]], "path string")
+    chain = [(a, b) for a, b in zip(names, names[1:])] + [("n0", "n13"), ("n0", "missing"), ("alone", "missing")]
+    e = spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("z", "x"), ("x", "n12"), ("s", "s")], "src string, dst string")
+    want = {f"n{i}": 13 - i for i in range(14)} | {"x": None, "y": None, "z": None, "s": None, "alone": 0}
+    rows = graph.depths(f, e).collect()
+    assert len(rows) == len(want) and {r.path: r.level for r in rows} == want
+
+
 def test_seen_candidate_gives_way_to_the_next(spark):
     f = spark.createDataFrame([("x.ts", 0), ("x.js", 1)], "path string, seq long")
     s = spark.createDataFrame([("a.ts", 0, "./x.ts"), ("a.ts", 1, "./x"), ("a.ts", 2, "./x")], "src string, pos int, spec string")
