@@ -67,6 +67,15 @@ def keyword_search(spark, d):
     return index.search(index.keyword_refs(corpus.texts(spark, d), "content", "path"), terms).where("score >= 20")
 
 
+@query(f"""with {FILES}, k as (select path, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f),
+b as (select item_id as query, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+'))) as word from benchmark)
+select query, path as ref, count(*) as score from b join k using (word) where length(word) >= 3 and word not in ({STOP}) group by all""")
+def keyword_search_all(spark, d):
+    """keyword_search with all matches, not only those of 20 shared words or more."""
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return index.search(index.keyword_refs(corpus.texts(spark, d), "content", "path"), terms)
+
+
 @query(f"""with {FILES} select case lang when 'en' then 'typescript' when 'fr' then 'python' when 'de' then 'rust' when 'es' then 'java' else 'unknown' end as language,
 case lang when 'en' then 'TypeScript' when 'fr' then 'Python' when 'de' then 'Rust' when 'es' then 'Java' else 'Unknown' end as display, count(*) as n_files, sum(size_bytes)::bigint as bytes from f group by all""")
 def files_by_language(spark, d):

@@ -30,5 +30,11 @@ def test_other_queries_give_rows(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0
 
 
+def test_search_returns_every_match(spark, duck):
+    rows = entry.queries()["keyword_search_all"](spark, SF).collect()
+    few = {(r.query, r.ref, r.score) for r in entry.queries()["keyword_search"](spark, SF).collect()}
+    assert min(r.score for r in rows) < 20 and few == {(r.query, r.ref, r.score) for r in rows if r.score >= 20}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
