@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` follows the same rule.
@@ -56,6 +57,36 @@ def slices(batches, rows: int):
             yield b.slice(at, rows)
 
 
+def mix64(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def whole_runs(batches, read, rows: int):
+    """Tuples of arrays of at least ``rows`` rows (the last: fewer) that never divide a run of equal values of the first array.
+
+    ``read`` makes such a tuple of an Arrow batch. A run longer than ``rows`` is gathered whole, in steps that double.
+    """
+    parts, size, least = [], 0, rows
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts.append(read(b))
+        size += b.num_rows
+        if size >= least:
+            whole = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            group = whole[0]
+            at = int(np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[-1])
+            if at:
+                yield tuple(x[:at] for x in whole)
+            parts, size = [tuple(x[at:] for x in whole)], size - at
+            least = max(rows, 2 * size)
+    if parts:
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def bit_of(bits: Column, at: Column) -> Column:
     """Bit ``at`` (from 0) of a bitmap of Spark's bitmap functions; false outside it or where it is null."""
     byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -7,7 +7,7 @@ import functools
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from loomdex.llm.common import shuffle_parts
+from loomdex.llm.common import mix64, shuffle_parts
 
 BINS = 512
 BITS = 4  # one hexadecimal digit a bin
@@ -15,21 +15,14 @@ SHINGLE = 5
 TRIES = 4096  # rows of the densification table
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_SALTS = _mix(np.arange(1, BINS + 1, dtype=np.uint64))
+_SALTS = mix64(np.arange(1, BINS + 1, dtype=np.uint64))
 
 
 @functools.cache
 def _probes() -> np.ndarray:
     """For try t and empty bin i, the bin to borrow from: a universal hash of (i, t), the same for every document."""
     at = np.arange(TRIES * BINS, dtype=np.uint64) + np.uint64(0x5DEECE66D)
-    return (_mix(at * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
+    return (mix64(at * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int64).reshape(TRIES, BINS)
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -41,7 +34,7 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
     n = min(len(w), width)
     h = np.full(max(1, len(w) - n + 1) if n else 1, n + 1, np.uint64)
     for k in range(n):
-        h = _mix((h * np.uint64(0x9E3779B97F4A7C15)) ^ w[k : len(w) - n + 1 + k])
+        h = mix64((h * np.uint64(0x9E3779B97F4A7C15)) ^ w[k : len(w) - n + 1 + k])
     return h
 
 
@@ -71,7 +64,7 @@ def sketch(hashes: np.ndarray) -> str:
     if len(empty):  # hardly ever: the nearest full bin to the right
         right = np.flatnonzero(full)
         value[empty] = value[right[np.searchsorted(right, empty) % len(right)]]
-    digits = (_mix(value + _SALTS) >> np.uint64(64 - BITS)).astype(np.uint8)
+    digits = (mix64(value + _SALTS) >> np.uint64(64 - BITS)).astype(np.uint8)
     return (digits[::2] << 4 | digits[1::2]).tobytes().hex()
 
 

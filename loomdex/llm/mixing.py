@@ -36,21 +36,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return t.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, copies, taken, and the columns ``carry``.
 
     Documents of a source are ranked by size; the prefix sum of expected copies is rate times rank,
     one offset a source is drawn from ``seed``, and a document is emitted once for each integer its
     step crosses (at most ceil(rate) <= ``most`` times). Ranks come from counts by (source, size,
     block of doc_id), so neither a hot source nor many equal documents meet in one task. Empty or
-    null texts have size 0 and take 0 words; null doc_id is a block of its own; repeated rows are
-    documents of their own; empty input gives no rows. Other columns are ignored.
+    null texts have size 0 and take 0 words; rows with null doc_id are dealt to blocks by text;
+    repeated rows are documents of their own; empty input gives no rows. doc_id is an integer.
     """
     size = n_words(F.col("text"))
-    d = cut(docs.select("doc_id", "source", size.alias("size")))
+    d = cut(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("__th"), *carry))
     n = d.count()
     # blocks keep the order of doc_id modulo their number, so SQL can say the same
-    d = d.select("doc_id", "source", "size", F.coalesce(F.pmod(F.col("doc_id"), F.lit(1 + n // BLOCK)), F.lit(0)).alias("block"))
+    d = d.withColumn("block", F.pmod(F.coalesce(F.col("doc_id"), F.col("__th")), F.lit(1 + n // BLOCK)))
     counts = d.groupBy("source", "size", "block").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
     per_size = sizes.select("source", "size", (F.sum("n").over(W.partitionBy("source").orderBy("size")) - F.col("n")).alias("before_size"))
@@ -61,13 +61,13 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
         .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
         .select("b.source", "b.size", "b.block", (F.col("before_size") + F.col("before_block")).alias("before"), "source_size", "target", "rate")
     )
-    ranked = d.select("*", F.row_number().over(W.partitionBy("source", "size", "block").orderBy("doc_id")).alias("rn"))
+    ranked = d.select("*", F.row_number().over(W.partitionBy("source", "size", "block").orderBy("doc_id", "__th")).alias("rn"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("d.source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rank = F.col("before") + F.col("rn")
     copies = F.floor(F.col("rate") * rank + offset) - F.floor(F.col("rate") * (rank - 1) + offset)
     return (
         ranked.alias("d").join(start.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.size") == F.col("b.size")) & (F.col("d.block") == F.col("b.block")))
-        .select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.cast("long").alias("copies"))
+        .select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.cast("long").alias("copies"), *(f"d.{c}" for c in carry))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 
@@ -75,11 +75,12 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 def emit(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each document's row, all columns, as often as ``mix`` emits it (not at all: gone).
 
-    Copies are looked up by doc_id; rows that share a doc_id share the copies of the first of them.
+    Rows are numbered and copies are looked up by that number, so rows that share a doc_id, or
+    have none, are emitted as often as each of them is to be. Columns named __* are reserved.
     """
-    c = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    out = docs.alias("x").join(c.alias("c"), F.col("x.doc_id").eqNullSafe(F.col("c.doc_id"))).where(F.col("c.__copies") > 0)
-    return out.select("x.*", F.explode(F.sequence(F.lit(1), F.col("c.__copies").cast("int"))).alias("__copy")).drop("__copy")
+    d = cut(docs.select("*", F.monotonically_increasing_id().alias("__row")))
+    c = mix(d, seed, carry=("__row",)).where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies"))
+    return d.join(c, "__row").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 ORACLE = f"""

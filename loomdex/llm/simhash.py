@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from loomdex.llm.common import binary_column, shuffle_parts, slices
+from loomdex.llm.common import binary_column, cut, mix64, shuffle_parts, slices, whole_runs
 from loomdex.llm.graph import components
 
 RADIUS = 3
@@ -38,6 +38,16 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 * ``words`` bits over a set of shingle hashes: word j mixes each hash with a salt of its own; no hashes: zero."""
+    counts = np.zeros(64 * words, np.int64)
+    salts = mix64(np.arange(1, words + 1, dtype=np.uint64))
+    for at in range(0, len(hashes), 2048):
+        h = mix64(hashes[at : at + 2048, None] ^ salts)
+        counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): every row's SimHash as a signed long; null or empty text has fp 0. No shuffle."""
 
@@ -53,108 +63,138 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> D
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes, vertical: row b holds bit b of all fingerprints, 64 to a word, a zero word behind."""
-    n = len(fps)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    out = np.zeros((64, -(-n // 64) + 1), np.uint64)
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
-    out.view(np.uint8).reshape(64, -1)[:, : packed.shape[1]] = packed
+    """Bit planes, vertical: row b holds bit b of all fingerprints (rows of words), 64 to a word, a zero word behind."""
+    n, width = fps.shape
+    out = np.zeros((64 * width, -(-n // 64) + 1), np.uint64)
+    for at in range(0, n, ROWS_AT_ONCE):
+        part = np.ascontiguousarray(fps[at : at + ROWS_AT_ONCE])
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8 * width), axis=1, bitorder="little")
+        packed = np.packbits(bits.T, axis=1, bitorder="little")
+        out.view(np.uint8).reshape(64 * width, -1)[:, at // 8 : at // 8 + packed.shape[1]] = packed
     return out
 
 
-def _ahead(words: np.ndarray, d: int) -> np.ndarray:
-    """Bit i becomes bit i + d of the input; the last axis is words."""
-    skip, shift = divmod(d, 64)
-    out = np.zeros_like(words)
-    if skip < words.shape[-1]:
-        out[..., : words.shape[-1] - skip] = words[..., skip:]
+def _differences(planes: np.ndarray, at: np.ndarray, skip: int, shift: int) -> np.ndarray:
+    """Planes XOR (planes moved by 64 * skip + shift), for the words ``at`` only."""
+    last = planes.shape[1] - 1
+    other = planes[:, np.minimum(at + skip, last)]
     if shift:
-        low = out >> np.uint64(shift)
-        low[..., :-1] |= out[..., 1:] << np.uint64(64 - shift)
-        return low
-    return out
-
-
-def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS):
-    """Yields (i, j), arrays of positions in the same run of ``group`` at ``radius`` (0 to 3) or fewer differing bits.
-
-    Position i is compared with i + d for each d up to the longest run, 64 pairs to a machine word:
-    the planes' differences enter carry-save counters two at a time, and words whose
-    pairs have all passed the radius are abandoned every eight planes.
+        other = (other >> np.uint64(shift)) | (planes[:, np.minimum(at + skip + 1, last)] << np.uint64(64 - shift))
+    return planes[:, at] ^ other
+
+
+def _count(counters: np.ndarray, over: np.ndarray, planes: list[np.ndarray]) -> None:
+    """Carry-save addition: each plane adds 0 or 1 to 64 counters a word; ``counters`` has a row a binary digit, ``over`` what passed the last."""
+    for digit in counters:
+        carries = []
+        while len(planes) > 1:
+            x, y = planes.pop(), planes.pop()
+            half = x ^ y
+            carries.append((x & y) | (half & digit))
+            digit ^= half
+        if planes:
+            x = planes.pop()
+            carries.append(x & digit)
+            digit ^= x
+        planes = carries
+    for x in planes:
+        over |= x
+
+
+def _passed(counters: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
+    """Where a counter is above ``radius``."""
+    above, equal = over.copy(), ~np.zeros_like(over)
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal &= counters[k]
+        else:
+            above |= equal & counters[k]
+            equal &= ~counters[k]
+    return above
+
+
+def close_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, root: np.ndarray | None = None):
+    """Yields (i, j), arrays of positions in the same run of ``group`` at ``radius`` or fewer differing bits.
+
+    ``fps`` are 64-bit numbers, or rows of them for longer fingerprints. Position i is compared with
+    i + d for each d up to the longest run, 64 pairs to a machine word: the planes' differences
+    enter carry-save counters eight at a time, and words whose pairs have all passed the radius are
+    abandoned. With ``root``, which the caller keeps up, pairs of one tree are not compared.
     """
     n = len(fps)
-    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, int)
-    runs = np.diff(np.r_[edges, n])
-    left = np.repeat(edges + runs, runs) - np.arange(n)  # rows from here to the end of the run
-    planes = _planes(fps)
+    if not n:
+        return
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    runs = np.diff(np.r_[starts, n])
+    left = np.repeat(starts + runs, runs) - np.arange(n)  # rows from here to the end of the run
+    planes = _planes(fps.reshape(n, -1))
+    digits = max(1, radius.bit_length())
+    active = np.arange(n)
     for d in range(1, int(runs.max(initial=1))):
-        valid = np.zeros(planes.shape[1] * 8, np.uint8)
-        packed = np.packbits(left > d, bitorder="little")
-        valid[: len(packed)] = packed
-        valid = valid.view(np.uint64)
+        active = active[left[active] > d]
+        if root is not None and d & (d - 1) == 0:  # at times, forget runs that are one tree already
+            split = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+            active = active[np.repeat(split, runs)[active]]
+        if not len(active):
+            return
+        asked = active if root is None else active[root[active] != root[active + d]]
+        valid = np.zeros(planes.shape[1] * 64, bool)
+        valid[asked] = True
+        valid = np.packbits(valid, bitorder="little").view(np.uint64)
         at = np.flatnonzero(valid)
         alive = valid[at]
-        ones, twos, over = (np.zeros(len(at), np.uint64) for _ in range(3))
+        counters, over = np.zeros((digits, len(at)), np.uint64), np.zeros(len(at), np.uint64)
         skip, shift = divmod(d, 64)
-        for b in range(0, 64, PLANES_AT_ONCE):
-            for p in range(b, b + PLANES_AT_ONCE, 2):
-                x, y = (_difference(planes[q], at, skip, shift) for q in (p, p + 1))
-                half = x ^ y
-                carry = (x & y) | (half & ones)
-                ones ^= half
-                over |= twos & carry
-                twos ^= carry
-            ok = alive & ~over
+        for b in range(0, len(planes), PLANES_AT_ONCE):
+            if not len(at):
+                break
+            _count(counters, over, list(_differences(planes[b : b + PLANES_AT_ONCE], at, skip, shift)))
+            if b + PLANES_AT_ONCE <= radius:
+                continue
+            ok = alive & ~_passed(counters, over, radius)
             keep = np.flatnonzero(ok)
             if len(keep) < len(at):
-                at, alive, ones, twos, over = at[keep], ok[keep], ones[keep], twos[keep], over[keep]
+                at, alive, counters, over = at[keep], ok[keep], np.ascontiguousarray(counters[:, keep]), over[keep]
             else:
                 alive = ok
-            if not len(at):
-                break
         if len(at):
-            if radius < 3:  # counts of 0 to 3 are in (twos, ones)
-                too_far = [ones | twos, twos, twos & ones][radius]
-                alive = alive & ~too_far
             word, bit = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i = at[word] * 64 + bit
-            if len(i):
-                yield i, i + d
+            yield i, i + d
 
 
-def _difference(plane: np.ndarray, at: np.ndarray, skip: int, shift: int) -> np.ndarray:
-    """plane XOR (plane moved by d), for the words ``at`` only."""
-    last = len(plane) - 1
-    other = plane[np.minimum(at + skip, last)]
-    if shift:
-        other = (other >> np.uint64(shift)) | (plane[np.minimum(at + skip + 1, last)] << np.uint64(64 - shift))
-    return plane[at] ^ other
+def join_trees(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Links i-j put into ``root``, which names the least position of each tree."""
+    while len(i):
+        a, b = root[i], root[j]
+        differ = a != b
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
-def spanning(fps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links enough to connect what ``close_pairs`` connects: those that join two trees when they come."""
     root = np.arange(len(fps))
     out = []
-    for i, j in close_pairs(fps, group):
-        new = root[i] != root[j]
-        i, j = i[new], j[new]
-        if not len(i):
-            continue
+    for i, j in close_pairs(fps, group, radius, root):
         out.append((i, j))
-        while True:
-            a, b = root[i], root[j]
-            differ = a != b
-            if not differ.any():
-                break
-            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
+        join_trees(root, i, j)
     if not out:
         return np.zeros(0, int), np.zeros(0, int)
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
+def spanning_batches(batches, read, radius: int):
+    """Arrow batches (a, b) of links that connect the rows of each bucket; ``read`` gives a batch's (bucket, id, fingerprints), sorted by bucket."""
+    import pyarrow as pa
+
+    for group, ids, fps in whole_runs(batches, read, ROWS_AT_ONCE):
+        i, j = spanning(fps, group, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect all fingerprints of ``distinct`` (fp) at 3 or fewer differing bits.
 
@@ -175,23 +215,11 @@ def links(distinct: DataFrame) -> DataFrame:
     dealt = keyed.repartition(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "fp")
 
     def run(batches):
-        import pyarrow as pa
+        def read(b):
+            f, k, sub = (b.column(i).to_numpy() for i in range(3))
+            return k * 16385 + sub + 1, f, f.view(np.uint64)
 
-        def out(fps, group):
-            i, j = spanning(fps, group)
-            return pa.RecordBatch.from_arrays([pa.array(fps[i].view(np.int64)), pa.array(fps[j].view(np.int64))], ["a", "b"])
-
-        fps, group = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            f, k, s = (b.column(i).to_numpy() for i in range(3))
-            fps, group = np.r_[fps, f.view(np.uint64)], np.r_[group, k * 16385 + s + 1]
-            if len(fps) >= ROWS_AT_ONCE:
-                whole = int(np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[-1])  # the last bucket may go on
-                if whole:
-                    yield out(fps[:whole], group[:whole])
-                    fps, group = fps[whole:], group[whole:]
-        if len(fps):
-            yield out(fps, group)
+        yield from spanning_batches(batches, read, RADIUS)
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -203,8 +231,6 @@ def classes(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     rows with null doc_id take part and never name a component unless nothing else can (null then).
     Repeated rows give repeated results; empty input gives no rows; other columns are ignored.
     """
-    from loomdex.llm.common import cut
-
     f = cut(fingerprints(docs, width=width))
     least = f.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tree = components(links(least.select("fp")))

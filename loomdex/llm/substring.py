@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from loomdex.llm import eliasfano as ef
-from loomdex.llm.common import binary_column, cut, shuffle_parts
+from loomdex.llm.common import binary_column, cut, mix64, shuffle_parts
 from loomdex.llm.backward import BackwardIndex
 from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, deal, merge, new_folder, shard_of
 
@@ -37,12 +37,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Sequence:
     """Word hashes of several texts behind each other, with hashes of any run of words in constant time."""
 
@@ -52,7 +46,7 @@ class Sequence:
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(w * up[: len(w)])])
 
     def hash(self, start: np.ndarray, size) -> np.ndarray:
-        return _mix((self.sums[start + size] - self.sums[start]) * self.down[start] + np.uint64(_B) * np.asarray(size, np.uint64))
+        return mix64((self.sums[start + size] - self.sums[start]) * self.down[start] + np.uint64(_B) * np.asarray(size, np.uint64))
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +116,8 @@ def _present(files: Files, kind: str, keys: np.ndarray) -> np.ndarray:
 
 def _place(k: np.ndarray, th: np.ndarray, start: np.ndarray) -> np.ndarray:
     """62-bit name of a segment's place in the corpus."""
-    x = _mix(k.view(np.uint64) * np.uint64(_B) + th.view(np.uint64))
-    return _mix(x + start.astype(np.uint64) * np.uint64(_B)) >> np.uint64(64 - HASH_BITS)
+    x = mix64(k.view(np.uint64) * np.uint64(_B) + th.view(np.uint64))
+    return mix64(x + start.astype(np.uint64) * np.uint64(_B)) >> np.uint64(64 - HASH_BITS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -219,7 +213,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def two_hashes(x: bytes) -> tuple[np.ndarray, np.ndarray]:
         w = np.frombuffer(x, np.uint64)
         at = np.arange(len(w) - window + 1)
-        return tuple(Sequence(v).hash(at, window) >> np.uint64(64 - HASH_BITS) for v in (w, _mix(w)))
+        return tuple(Sequence(v).hash(at, window) >> np.uint64(64 - HASH_BITS) for v in (w, mix64(w)))
 
     def count_windows(which):
         def run(batches):

@@ -60,6 +60,17 @@ def test_emit(spark):
     assert {k: v for k, v in copies.items() if v} == dict(got) and mixing.emit(df).columns == df.columns
 
 
+def test_emit_takes_what_mix_says_without_unique_ids(spark):
+    rows = [(7 if i % 2 else None if i % 3 else i, f"w{i} " * (i % 11 + 1), "abc"[i % 3 * (i % 5 > 0)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        want[r.source] += r.taken
+    for r in mixing.emit(df).collect():
+        got[r.source] += len(r.text.split())
+    assert got == want
+
+
 def test_awkward(spark):
     df = awkward(spark)
     rows = mixing.mix(df).collect()

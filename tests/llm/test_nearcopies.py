@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -75,8 +76,45 @@ def test_groups_against_all_pairs(spark, seed):
     assert got == {d: find(d) for d, _ in docs}
 
 
+def test_one_row_stays_of_each_class(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, text), (7, text), (7, text.upper()), (None, text), (None, "quite another text"), (None, "quite another text"), (3, "x"), (5, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept) == [(0, "quite another text"), (3, "x"), (4, ""), (7, text)]
+
+
+def test_blocks_do_not_change_classes(spark, monkeypatch):
+    r = random.Random(3)
+    text = [f"w{r.randrange(50)}" for _ in range(120)]
+    docs = []
+    for i in range(90):
+        text[r.randrange(120)] = f"e{i}"
+        docs.append((i, " ".join(text)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, nearcopies.classes(df).collect()))
+    monkeypatch.setattr(nearcopies, "BLOCK_TEXTS", 7)
+    assert sorted(map(tuple, nearcopies.classes(df).collect())) == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_wide_fingerprints_against_all_pairs(seed):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**63, (6, 4), np.uint64)
+    fps = base[r.integers(0, 6, 150)]
+    for f in fps:
+        for b in r.integers(0, 256, r.integers(0, 60)):
+            f[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    group = np.sort(r.integers(0, 3, 150))
+    far = np.bitwise_count(fps[:, None] ^ fps).sum(axis=2)
+    for radius in (0, 3, 40, 68, 127, 128):
+        got = {(int(i), int(j)) for a, b in simhash.close_pairs(fps, group, radius) for i, j in zip(a, b, strict=True)}
+        assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if group[i] == group[j] and far[i, j] <= radius}
+
+
 def test_awkward(spark):
     df = awkward(spark)
+    assert nearcopies.survivors(df).count() == len({tuple(sorted(plain_set(r.text))) for r in df.collect()}) and nearcopies.survivors(df).columns == df.columns
     rows = nearcopies.classes(df).collect()
     assert len(rows) == df.count()
     assert {r.component_id for r in rows if r.doc_id in (1, 2, None)} == {1} and {r.component_id for r in rows if r.doc_id in (3, 4, 5, 10)} == {3}
