@@ -1,4 +1,4 @@
-"""Compressed FM-index over word sequences: wavelet-matrix rank, backward search in lockstep."""
+"""Compressed FM-index over word sequences: wavelet-matrix rank, matching statistics by backward search in lockstep."""
 
 from __future__ import annotations
 
@@ -39,72 +39,104 @@ class WaveletMatrix:
 class BackwardIndex:
     """Index of several word sequences, each ended by a mark of its own that sorts below all words.
 
-    ``repeats`` tells for each suffix-array row in how many rows the first ``length`` words recur.
+    ``weights`` tells how often each sequence occurs; an interval of suffix-array rows weighs what
+    its rows weigh. ``lcp`` of a row is the common prefix with the row before, ``left`` and ``right``
+    are the nearest rows of a shorter one, so an interval's parent is found at once.
     """
 
-    def __init__(self, words: np.ndarray, sizes: np.ndarray, length: int):
-        self.length, count = length, len(sizes)
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, weights: np.ndarray):
+        count = len(sizes)
         self.alphabet, ids = np.unique(words, return_inverse=True)
         ends = np.cumsum(sizes + 1) - 1
-        n = int(ends[-1]) + 1 if count else 0
+        n = self.n = int(ends[-1]) + 1 if count else 0
         text = np.empty(n, np.int64)
         is_word = np.ones(n, bool)
         is_word[ends] = False
         text[ends] = np.arange(count)
         text[is_word] = count + ids
-        rank, step, at_length = text, 1, None
-        half = 1 << (length.bit_length() - 1)
-        if half == 1:
-            at_length = self._pair(rank, length - 1)
-        order = None
-        while True:
-            key = self._pair(rank, step)
-            order = np.argsort(key)
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]]) if n else new
-            rank, step = new, step * 2
-            if at_length is None and step >= half:
-                at_length = self._pair(rank, length - half) if step == half else rank
-            if not n or rank[order[-1]] == n - 1:
-                break
-        if at_length is None:  # all suffixes differ within fewer words
-            at_length = rank
-        same = np.unique(at_length, return_inverse=True)[1] if n else at_length
-        self.repeats = np.bincount(same, minlength=1)[same][order] if n else same
+        order, lengths = self._suffixes(text)
+        self.lcp = np.r_[lengths, -1] if n else np.zeros(1, np.int64)
+        self.left, self.right = self._shorter(self.lcp), len(self.lcp) - 1 - self._shorter(self.lcp[::-1])[::-1]
+        owner = np.repeat(np.arange(count), sizes + 1)
+        self.weight = np.r_[0, np.cumsum(weights[owner][order])] if n else np.zeros(1, np.int64)
         shown = np.where(is_word, text - count + 1, 0)
-        bwt = shown[order - 1]
-        self.n = n
-        self.tree = WaveletMatrix(bwt, len(self.alphabet))
+        self.tree = WaveletMatrix(shown[order - 1], len(self.alphabet))
         symbols = np.arange(len(self.alphabet) + 1)
         counts = np.bincount(shown, minlength=len(symbols))
         self.shift = np.cumsum(counts) - counts - self.tree.descend(symbols, np.zeros(len(symbols), np.int64))
 
     @staticmethod
-    def _pair(rank: np.ndarray, step: int) -> np.ndarray:
-        ahead = np.zeros(len(rank), np.int64)
-        if step < len(rank):
-            ahead[: len(rank) - step] = rank[step:] + 1
-        return rank * (len(rank) + 2) + ahead if step else rank
+    def _suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix array by prefix doubling, and each row's common prefix with the row before (-1 for the first), read off the ranks of all rounds."""
+        n, rank, step, ranks = len(text), text, 1, [text]
+        order = np.argsort(text, kind="stable")
+        while n:
+            ahead = np.zeros(n, np.int64)
+            if step < n:
+                ahead[: n - step] = rank[step:] + 1
+            key = rank * (n + 2) + ahead
+            order = np.argsort(key)
+            new = np.empty(n, np.int64)
+            new[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+            rank, step = new, step * 2
+            if rank[order[-1]] == n - 1:
+                break
+            ranks.append(rank)
+        a, b, same = order[1:].copy(), order[:-1].copy(), np.zeros(max(0, n - 1), np.int64)
+        for j in reversed(range(len(ranks))):
+            inside = np.maximum(a, b) < n
+            equal = np.zeros(len(a), bool)
+            equal[inside] = ranks[j][a[inside]] == ranks[j][b[inside]]
+            jump = equal.astype(np.int64) << j
+            a, b, same = a + jump, b + jump, same + jump
+        return order, np.r_[-1, same][:n]
+
+    @staticmethod
+    def _shorter(lcp: np.ndarray) -> np.ndarray:
+        """For each place the nearest earlier one with a smaller value, else 0. Candidates skip what others have skipped."""
+        at = np.arange(len(lcp)) - 1
+        at[:1] = 0
+        while True:
+            wrong = np.flatnonzero((at > 0) & (lcp[at] >= lcp))
+            if not len(wrong):
+                return at
+            at[wrong] = at[at[wrong]]
 
-    def recurring(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For each position of the given sequences: do the ``length`` words from here occur twice in the index?
+    def statistics(self, words: np.ndarray, sizes: np.ndarray, least: int = 2) -> np.ndarray:
+        """Matching statistics: for each position of the given sequences, how many words from here occur with a weight of ``least``.
 
-        All sequences are searched backwards together, a word a step. Each must occur in the index
-        as a whole; its rows at a position then begin with those ``length`` words, and one of them
-        tells how often they recur. Positions too near the end say no.
+        All sequences stream backwards together. A word in front narrows the interval; where that
+        leaves too little weight, the match gives up its last words, down to the parent interval, and tries again.
         """
-        ids = np.searchsorted(self.alphabet, words) + 1
-        ends = np.cumsum(sizes)
-        out = np.zeros(len(words), bool)
-        order = np.argsort(-sizes, kind="stable")
-        ends, sizes = ends[order], sizes[order]
-        low, high = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.n, np.int64)
-        for back in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
-            alive = int(np.searchsorted(-sizes, -back, "right"))
-            low, high, ends, sizes = low[:alive], high[:alive], ends[:alive], sizes[:alive]
-            symbol = ids[ends - back]
-            both = self.tree.descend(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.concatenate([self.shift[symbol]] * 2)
-            low, high = both[:alive], both[alive:]
-            if back >= self.length:
-                out[ends - back] = (high > low) & (self.repeats[np.minimum(low, self.n - 1)] > 1)
+        where = np.minimum(np.searchsorted(self.alphabet, words), max(0, len(self.alphabet) - 1))
+        known = self.alphabet[where] == words if len(self.alphabet) else np.zeros(len(words), bool)
+        ids = np.where(known, where + 1, -1)
+        out = np.zeros(len(words), np.int64)
+        starts = np.cumsum(sizes) - sizes
+        at = starts + sizes - 1
+        low, high, size = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.n, np.int64), np.zeros(len(sizes), np.int64)
+        open_ = np.flatnonzero(sizes > 0)
+        while len(open_):
+            lo, hi, here = low[open_], high[open_], at[open_]
+            symbol = np.maximum(ids[here], 0)
+            both = self.tree.descend(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.concatenate([self.shift[symbol]] * 2)
+            a, b = both[: len(lo)], both[len(lo) :]
+            ok = (ids[here] > 0) & (b > a)
+            ok[ok] = self.weight[b[ok]] - self.weight[a[ok]] >= least
+            won, lost = open_[ok], open_[~ok]
+            low[won], high[won] = a[ok], b[ok]
+            size[won] += 1
+            none = lost[size[lost] == 0]
+            shrunk = lost[size[lost] > 0]
+            lo, hi = low[shrunk], high[shrunk]
+            parent = np.maximum(self.lcp[lo], self.lcp[hi])
+            low[shrunk] = np.where(self.lcp[lo] == parent, self.left[lo], lo)
+            high[shrunk] = np.where(self.lcp[hi] == parent, self.right[hi], hi)
+            size[shrunk] = np.maximum(parent, 0)
+            root = shrunk[parent <= 0]
+            low[root], high[root] = 0, self.n
+            for done in (won, none):
+                out[at[done]] = size[done]
+                at[done] -= 1
+            open_ = open_[at[open_] >= starts[open_]]
         return out

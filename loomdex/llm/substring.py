@@ -2,28 +2,33 @@
 
 Two equal windows have the same least 16-word hash, so a corpus is cut into segments of consecutive
 windows that share it, and equal windows meet wherever segments are dealt by that hash (minimisers,
-as k-mer counting does). Segments whose hash occurs once are unique and stay home. The rest are
-first counted as wholes; distinct ones with a common hash go to a shard, which indexes their words
-and streams them through backward search.
+as k-mer counting does). Segments whose hash occurs once are unique and stay home. Equal segments
+become one with a weight; those with a common hash go to a shard, which indexes their words and
+streams them through backward search: a window recurs where the matching statistic reaches its length.
+Only a segment that no other one shares its hash with needs no search: its weight is that of all its intervals.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from loomdex.llm import eliasfano as ef
-from loomdex.llm.common import binary_column, cut, mix64, shuffle_parts
+from loomdex.llm.common import binary_column, cut, mix64, shuffle_parts, slices
 from loomdex.llm.backward import BackwardIndex
 from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, deal, merge, new_folder, shard_of
 
 WINDOW = 35
 GRAM = 16
 BATCH_TOKENS = 500_000
-#: A hash with more distinct segments than this is settled by counting single windows instead.
+#: A hash with more distinct segments than this is split by longer context.
 HOT = 1024
-#: Distinct segments of one shard, about.
+#: Distinct segments of one shard of the index, about.
 SHARD_SEGMENTS = 8192
+#: Shards of the hash sets for each partition of the input, so that their size does not follow the input's.
+SHARDS_A_PART = 2
 
 _B = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -128,7 +133,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k, th, start, size, offsets): segments with windows that recur; offsets from start, null for all of them."""
     spark = docs.sparkSession
-    shards = shuffle_parts(spark)
+    shards = max(shuffle_parts(spark), SHARDS_A_PART * docs.rdd.getNumPartitions())
     files = Files(new_folder(spark, "substring"), shards)
     d = _keyed(docs).drop("doc_id")
 
@@ -170,7 +175,6 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # written first, so that the join has an exchange on either side and Spark may split a hot hash
     variants = cut(wholes.groupBy("m").agg(F.count(F.lit(1)).alias("variants")))
     asked = wholes.join(variants, "m").where("variants > 1 OR twice")
-    hot = variants.where(F.col("variants") > HOT).select("m")
 
     def name(batches):
         for b in batches:
@@ -191,64 +195,89 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [pa.array(s["m"][ok].astype(np.int64)), pa.array(s["whole"][ok].astype(np.uint64).view(np.int64)), pa.array(words, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["m", "whole", "words"])
 
-    texts = d.mapInArrow(fetch, "m long, whole long, words binary").join(hot.withColumn("hot", F.lit(True)), "m", "left")
-    texts = cut(texts.select("m", "whole", "words", F.coalesce("hot", F.lit(False)).alias("hot")))
-    n_asked = texts.count()
-    alone = wholes.where("n = 1").select("m", "whole")
-
-    def index(key, table):
+    texts = d.mapInArrow(fetch, "m long, whole long, words binary").join(asked.select("m", "whole", "n", "variants"), ["m", "whole"])
+    texts = cut(texts.select("m", "whole", "words", "n", "variants"))
+    hot = texts.where(F.col("variants") > HOT).dropDuplicates(["m", "whole"])
+    hot = hot.select(F.col("m").alias("key"), F.col("whole").alias("piece"), "m", "whole", F.lit(0).alias("at"), "n", "words")
+    todo, places = [texts.where(F.col("variants") <= HOT).select(F.col("m").alias("key"), F.col("whole").alias("piece"), "n", "words", F.lit(True).alias("all"))], None
+    reach = window - min(GRAM, window) + 1
+    room = reach
+    while room > 1 and not hot.isEmpty():
+        room = max(1, room // 2)
+        pieces = cut(split(hot, window, room))
+        distinct = pieces.groupBy("key", "piece").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+        distinct = cut(distinct)
+        counts = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("variants")))
+        many = counts.where(F.col("variants") > HOT).select("key")
+        settled = pieces.join(many, "key", "left_anti").select("key", "piece", "m", "whole", "at")
+        places = settled if places is None else places.union(settled)
+        todo.append(distinct.join(many, "key", "left_anti").select("key", "piece", "n", "words", F.lit(False).alias("all")))
+        hot = pieces.join(many, "key", "left_semi")
+    if places is not None:
+        places = cut(places)
+    texts = functools.reduce(DataFrame.union, todo)
+    indexes = max(shards, texts.count() // SHARD_SEGMENTS)
+
+    def index(_, table):
         import pandas as pd
 
-        table = table.drop_duplicates(["m", "whole"])
+        table = table.drop_duplicates(["key", "piece"])
         parts = [np.frombuffer(x, np.uint64) for x in table["words"]]
         words, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        again = BackwardIndex(words, sizes, window).recurring(words, sizes)
+        again = BackwardIndex(words, sizes, table["n"].to_numpy()).statistics(words, sizes) >= window
         starts = np.cumsum(sizes) - sizes
         offsets = [np.flatnonzero(again[a : a + z]).tolist() for a, z in zip(starts, sizes, strict=True)]
-        return pd.DataFrame({"m": table["m"], "whole": table["whole"], "offsets": offsets})
-
-    in_shard = F.pmod(F.xxhash64("m"), F.lit(max(shards, n_asked // SHARD_SEGMENTS))).alias("shard")
-    indexed = texts.where("NOT hot").select("m", "whole", "words", in_shard).groupBy("shard").applyInPandas(index, "m long, whole long, offsets array<int>")
-
-    def two_hashes(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-        w = np.frombuffer(x, np.uint64)
-        at = np.arange(len(w) - window + 1)
-        return tuple(Sequence(v).hash(at, window) >> np.uint64(64 - HASH_BITS) for v in (w, mix64(w)))
-
-    def count_windows(which):
-        def run(batches):
-            tally = Tally()
-            for b in batches:
-                found = [two_hashes(x)[which] for x in b.column(0).to_pylist()]
-                if found:
-                    tally.add(*np.unique(np.concatenate(found), return_counts=True))
-            h, c = tally.fold()
-            yield from deal(shard_of(h, shards), shards, h, np.minimum(c, 2))
+        return pd.DataFrame({"key": table["key"], "piece": table["piece"], "all": table["all"], "offsets": offsets})
+
+    in_shard = F.pmod(F.xxhash64("key"), F.lit(indexes)).alias("shard")
+    indexed = texts.select("*", in_shard).groupBy("shard").applyInPandas(index, "key long, piece long, all boolean, offsets array<int>").where(F.size("offsets") > 0)
+    every = wholes.join(variants.where("variants = 1"), "m").where("n > 1 AND NOT twice").select("m", "whole", F.lit(None).cast("array<int>").alias("offsets"))
+    if places is None:
+        some = indexed.select(F.col("key").alias("m"), F.col("piece").alias("whole"), "offsets")
+    else:
+        indexed = cut(indexed)
+        some = indexed.where("all").select(F.col("key").alias("m"), F.col("piece").alias("whole"), "offsets")
+        # a segment's pieces are at most its windows, so a list of lists is no longer than the segment
+        back = places.join(indexed.where("NOT all"), ["key", "piece"]).select("m", "whole", F.transform("offsets", lambda x: x + F.col("at")).alias("offsets"))
+        some = some.union(back.groupBy("m", "whole").agg(F.flatten(F.collect_list("offsets")).alias("offsets")))
+    return found.join(some.union(every), ["m", "whole"]).select("k", "th", "start", "size", "offsets")
 
-        return run
 
-    # a window of a hot hash recurs if both of its hashes do; counts are folded in each task, so no window is a row
-    single = cut(texts.where("hot").dropDuplicates(["m", "whole"]).select("m", "whole", "words"))
-    for which, kind in enumerate(("often", "often2")):
-        single.select("words").mapInArrow(count_windows(which), ROWS).groupBy("shard").applyInPandas(keep(kind, 2), "n long").count()
+def split(rows: DataFrame, window: int, room: int) -> DataFrame:
+    """Rows (key, piece, m, whole, at, n, words) cut up so that fewer pieces share a key.
+
+    A window knows where its least word run lies (the first of equal ones). Windows where that
+    place falls in the same ``room`` words share at least ``window + 1 - room`` words around the
+    run, and that context is the new key: equal windows keep equal keys. With a room of one word
+    the context is the window itself, so a key then has one piece. ``at`` counts from the segment's start.
+    """
+    gram = min(GRAM, window)
+    reach = window - gram + 1
 
-    def look_up(batches):
+    def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            pairs = [two_hashes(x) for x in b.column(2).to_pylist()]
-            if not pairs:
-                continue
-            sizes = np.array([len(x) for x, _ in pairs])
-            again = _present(files, "often", np.concatenate([x for x, _ in pairs])) & _present(files, "often2", np.concatenate([y for _, y in pairs]))
-            starts = np.cumsum(sizes) - sizes
-            offsets = [np.flatnonzero(again[a : a + n]).tolist() for a, n in zip(starts, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(offsets, pa.list_(pa.int32()))], ["m", "whole", "offsets"])
-
-    counted = single.mapInArrow(look_up, "m long, whole long, offsets array<int>").where(F.size("offsets") > 0)
-    some = indexed.where(F.size("offsets") > 0).union(counted).join(alone, ["m", "whole"], "left_semi")
-    every = wholes.where("n > 1").select("m", "whole", F.lit(None).cast("array<int>").alias("offsets"))
-    return found.join(some.union(every), ["m", "whole"]).select("k", "th", "start", "size", "offsets")
+        for b in slices(batches, 256):
+            out = []
+            for _, _, m, whole, at, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                w = np.frombuffer(data, np.uint64)
+                seq = Sequence(w)
+                g = seq.hash(np.arange(len(w) - gram + 1), gram) >> np.uint64(64 - HASH_BITS)
+                z = len(w) - window + 1
+                place = np.concatenate([(g[a + np.arange(min(z - a, 1 << 16))[:, None] + np.arange(reach)]).argmin(axis=1) for a in range(0, z, 1 << 16)])
+                part = place // room
+                context = np.arange(z) + place - part * room
+                size = gram + np.minimum(part * room, reach - 1) + np.maximum(reach - (part + 1) * room, 0)
+                key = mix64(seq.hash(context, size) + part.astype(np.uint64) + np.uint64(room << 8))
+                first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
+                length = np.diff(np.r_[first, z])
+                piece = seq.hash(first, length + window - 1)
+                for f, c, k, p in zip(first.tolist(), length.tolist(), key[first].view(np.int64).tolist(), piece.view(np.int64).tolist(), strict=True):
+                    out.append((k, p, m, whole, at + f, n, w[f : f + c + window - 1].tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, b.schema.types, strict=True)], b.schema.names)
+
+    return rows.select("key", "piece", "m", "whole", "at", "n", "words").mapInArrow(run, "key long, piece long, m long, whole long, at int, n long, words binary")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -33,7 +33,26 @@ def test_index_against_counting(seed, window):
     words = np.array([x for p in parts for x in p], np.uint64)
     seen = Counter(tuple(p[i : i + window]) for p in parts for i in range(len(p) - window + 1))
     want = [i + window <= len(p) and seen[tuple(p[i : i + window])] > 1 for p in parts for i in range(len(p))]
-    assert BackwardIndex(words, sizes, window).recurring(words, sizes).tolist() == want
+    got = BackwardIndex(words, sizes, np.ones(len(sizes), np.int64)).statistics(words, sizes)
+    assert (got >= window).tolist() == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_matching_statistics_of_any_sequence(seed):
+    r = random.Random(seed)
+    kinds = r.choice([1, 2, 3, 20])
+    parts = [[r.randrange(kinds) + 5 for _ in range(r.randrange(1, 30))] for _ in range(r.randrange(1, 8))]
+    weights = [r.randrange(1, 4) for _ in parts]
+    asked = parts + [[r.randrange(kinds + 2) + 4 for _ in range(r.randrange(0, 20))] for _ in range(4)]  # words that the index lacks, too
+    least = r.choice([1, 2, 5])
+
+    def weight(x):
+        return sum(n * sum(p[j : j + len(x)] == x for j in range(len(p) - len(x) + 1)) for p, n in zip(parts, weights))
+
+    want = [max(size for size in range(len(q) - i + 1) if not size or weight(q[i : i + size]) >= least) for q in asked for i in range(len(q))]
+    flat = lambda x: np.array([w for p in x for w in p], np.uint64)
+    index = BackwardIndex(flat(parts), np.array([len(p) for p in parts]), np.array(weights))
+    assert index.statistics(flat(asked), np.array([len(p) for p in asked]), least).tolist() == want
 
 
 def corpus(seed):
