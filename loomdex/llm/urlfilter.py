@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomdex.llm.common import cut
+from loomdex.llm.common import bit_of, cut
 
 #: (action, host and path), both ends of a rule in one string.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 HASHES = 4  # 1 false positive in 16 a level
-BUCKET = 32768  # bits of one bitmap, fixed by bitmap_bucket_number
-#: A level of more bits than this is not shipped to tasks (16 MB); see ``listed_flag``.
-MAX_BITS = 1 << 27
+BUCKET = 32768  # bits of one bitmap, fixed by bitmap_construct_agg
+#: Keys of one shard and level, about: at HASHES / ln 2 bits a key they leave a bitmap a quarter of room.
+SHARD_KEYS = 4096
 MOST_LEVELS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -45,30 +46,8 @@ def action_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
-class Level:
-    """One Bloom filter: bitmaps of 4 KB as rows of a shared table, ``size`` bits, own hash salts."""
-
-    def __init__(self, keys: DataFrame, count: int, number: int):
-        self.number = number
-        self.size = max(64, math.ceil(count * HASHES / math.log(2)))
-        at = keys.select(F.explode(F.array(*self._places(F.col("key")))).alias("at")).select((F.col("at") + 1).alias("at"))
-        self.rows = cut(at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
-
-    def _places(self, key: Column) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(self.number * HASHES + i)), F.lit(self.size)) for i in range(HASHES)]
-
-    def might_contain(self, key: Column) -> Column:
-        """The bitmaps reach tasks as one scalar value of at most MAX_BITS bits; no join."""
-        n = -(-self.size // BUCKET)
-        every = self.rows.sparkSession.range(1, n + 1, 1, 1).join(self.rows, F.col("id") == F.col("bucket"), "left")
-        maps = every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("maps")).scalar()
-        out = F.lit(True)
-        for place in self._places(key):
-            bits = F.get(maps, F.floor(place / BUCKET).cast("int"))["bits"]
-            inside = place % BUCKET
-            byte = F.conv(F.hex(F.substring(bits, F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            out = out & F.coalesce(F.getbit(byte, (inside % 8).cast("int")) == 1, F.lit(False))
-        return out
+def _places(key: Column, level: int, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level * HASHES + i)), F.lit(bits)) for i in range(HASHES)]
 
 
 class Cascade:
@@ -78,36 +57,60 @@ class Cascade:
     listed ones that level 1 lets through, and so on until nothing wrong is let through. A key is
     listed if the first level that lacks it is an odd one (counting from 0), or if it passes an odd
     number of levels in all. Keys outside the universe get some answer, as with any Bloom filter.
+
+    Keys are dealt to shards by a hash, and each level is one bitmap of 4 KB at most a shard. A key
+    meets the bitmaps of its own shard only, so the filter may be of any size: no list of keys
+    and no whole filter is sent anywhere.
     """
 
     def __init__(self, universe: DataFrame):
-        self.levels: list[Level] = []
-        inside, outside = universe.where("listed").select("key"), universe.where("NOT listed").select("key")
-        while count := inside.count():
-            if len(self.levels) == MOST_LEVELS:
+        found = {r[0]: r[1] for r in universe.groupBy("listed").count().collect()}
+        inside, outside = found.get(True, 0), found.get(False, 0)
+        self.shards = max(1, math.ceil(max(inside, outside / (1 << HASHES)) / SHARD_KEYS))
+        self.levels: list[int] = []  # bits a shard
+        keys = universe.select("key", "listed", self.shard_of(F.col("key")).alias("shard"))
+        rest, levels, count = cut(keys), [], inside
+        while count:
+            level = len(levels)
+            if level == MOST_LEVELS:
                 raise RuntimeError("the cascade does not end: the same key is both listed and not")
-            level = Level(inside, count, len(self.levels))
-            self.levels.append(level)
-            inside, outside = outside.where(level.might_contain(F.col("key"))), inside
-
-    def contains(self, key: Column) -> Column:
+            held = level % 2 == 0
+            self.levels.append(bits := min(BUCKET, max(64, math.ceil(count / self.shards * HASHES / math.log(2)))))
+            at = rest.where(F.col("listed") == held).select("shard", F.explode(F.array(*_places(F.col("key"), level, bits))).alias("at"))
+            bitmap = F.substring(F.bitmap_construct_agg("at"), 1, -(-bits // 8))
+            levels.append(cut(at.groupBy("shard").agg(bitmap.alias("bits")).withColumn("level", F.lit(level))))
+            passed = rest.where(F.col("listed") != held).join(levels[-1].drop("level"), "shard").where(self._in("bits", F.col("key"), level))
+            rest = cut(rest.where(F.col("listed") == held).union(passed.select("key", "listed", "shard")))
+            count = rest.where(F.col("listed") != held).count()
+        self.rows = None
+        if levels:
+            all_ = functools.reduce(DataFrame.union, levels)
+            self.rows = cut(all_.groupBy("shard").agg(*(F.max(F.when(F.col("level") == i, F.col("bits"))).alias(f"__level{i}") for i in range(len(levels)))))
+
+    def shard_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards))
+
+    def _in(self, bits: str, key: Column, level: int) -> Column:
+        return functools.reduce(Column.__and__, (bit_of(F.col(bits), place) for place in _places(key, level, self.levels[level])))
+
+    def flag(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` plus boolean ``listed``: each row meets the one row of its shard's bitmaps. A shard without a level's bitmap lacks all keys there."""
+        if self.rows is None:
+            return df.withColumn("listed", F.lit(False))
+        d = df.withColumn("__shard", self.shard_of(F.col(key)))
+        d = d.join(self.rows.withColumnRenamed("shard", "__shard"), "__shard", "left")
         out = F.lit(len(self.levels) % 2 == 1)
         for i in reversed(range(len(self.levels))):
-            out = F.when(self.levels[i].might_contain(key), out).otherwise(F.lit(i % 2 == 1))
-        return out
+            out = F.when(self._in(f"__level{i}", F.col(key), i), out).otherwise(F.lit(i % 2 == 1))
+        return d.select(*df.columns, (F.col(key).isNotNull() & out).alias("listed"))
 
 
 def listed_flag(df: DataFrame, key: str, universe: DataFrame) -> DataFrame:
-    """``df`` plus boolean ``listed`` for its ``key``, from a cascade over ``universe``.
+    """``df`` plus boolean ``listed`` for its ``key``, from a cascade over ``universe``, whose keys are distinct and cover those of ``df``.
 
-    Where the first level would pass MAX_BITS, the flag comes from a join with the listed keys
-    instead (they are distinct, so no key can multiply rows).
+    A null key is not listed; repeated rows get repeated flags; an empty universe lists nothing.
     """
-    universe = cut(universe)
-    if universe.where("listed").count() * HASHES / math.log(2) > MAX_BITS:
-        names = universe.where("listed").select(F.col("key").alias(key), F.lit(True).alias("listed"))
-        return df.join(names, key, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    return df.withColumn("listed", Cascade(universe).contains(F.col(key)))
+    return Cascade(universe).flag(df, key)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -19,3 +19,8 @@ def test_pages_are_read_without_their_html(spark):
 @pytest.mark.parametrize("name", ["op3_media", "op4_packing"])
 def test_no_shuffle(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, SF))
+
+
+def test_the_url_filter_meets_its_bitmaps_in_one_join(spark):
+    p = plan(QUERIES["op8_urlfilter"](spark, SF))
+    assert len(re.findall(r"\w+Join", p)) <= 2 and "Subquery" not in p

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomdex.llm import urlfilter
@@ -11,16 +12,21 @@ def test_cascade_is_exact_on_its_universe(spark):
         rows = [(f"key{i}", r.random() < share) for i in range(n)]
         u = spark.createDataFrame(rows, "key string, listed boolean").cache()
         c = urlfilter.Cascade(u)
-        got = u.select("listed", c.contains(F.col("key")).alias("found")).collect()
-        assert all(x.listed == x.found for x in got) and len(c.levels) <= 12
+        got = c.flag(u.withColumnRenamed("listed", "right"), "key").collect()
+        assert len(got) == n and all(x.right == x.listed for x in got) and len(c.levels) <= 12
 
 
-def test_join_beyond_the_bound(spark, monkeypatch):
-    rows = [(f"key{i}", i % 3 == 0) for i in range(200)]
+@pytest.mark.parametrize("keys", [4096, 50, 3])
+@pytest.mark.parametrize("share", [0.003, 0.4, 0.99])
+def test_shards_change_nothing(spark, monkeypatch, keys, share):
+    monkeypatch.setattr(urlfilter, "SHARD_KEYS", keys)
+    r = random.Random(keys)
+    rows = [(f"key{i}", r.random() < share) for i in range(2000)]
     u = spark.createDataFrame(rows, "key string, listed boolean")
-    monkeypatch.setattr(urlfilter, "MAX_BITS", 8)
-    d = u.select(F.col("key").alias("name"))
-    assert {(x.name, x.listed) for x in urlfilter.listed_flag(d, "name", u).collect()} == set(rows)
+    d = u.select(F.col("key").alias("name"), F.lit(1).alias("shard")).union(u.limit(5).select("key", F.lit(2))).union(spark.createDataFrame([(None, 3)], "name string, shard int"))
+    assert (urlfilter.Cascade(u).shards > 1) == (keys < 4096)
+    got = urlfilter.listed_flag(d, "name", u).collect()
+    assert len(got) == 2006 and {(x.name, x.listed) for x in got} == {*rows, (None, False)}
 
 
 def plain(url):
