@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -96,40 +97,38 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (k, halo, doc_id, text), one range of doc_id after the other, each sorted by falling doc_id.
+    """Rows (p, halo, doc_id, text), one range of doc_id a partition, each sorted by falling doc_id.
 
     A range ends with the first row of the next lower one (halo), the lowest with the highest
     of all, so each row's next is the row below it in its own partition: texts move once.
-    Range bounds are approximate quantiles; they and one largest id a range are all the driver
-    sees, at most one of each a shuffle partition. Null doc_id comes last.
+    Range bounds are approximate quantiles; a doc_id that is several of them (null, say) is cut
+    into ranges of a text hash. Bounds and one highest row a range are all the driver sees, at
+    most two a shuffle partition. Null doc_id comes last; rows of one doc_id follow by that hash.
     """
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
-    least = F.lit(-(1 << 63)).cast("long")
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = d.agg(F.percentile_approx("k", [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10000)).first()[0] or []
-    splits = F.array(*(F.lit(x) for x in sorted(set(bounds)))) if bounds else F.array().cast("array<long>")
-    part = F.size(F.filter(splits, lambda s: s < F.col("k")))
-    tops = sorted((r[0], r[1]) for r in d.groupBy(part.alias("p")).agg(F.max("k")).collect())
-    below = [tops[-1], *tops[:-1]] if tops else []
-    send = {}
-    for (p, _), (_, top) in zip(tops, below, strict=True):
-        send.setdefault(top, []).append(p)
-    halo = F.lit(None).cast("array<int>")
-    if send:
-        table = F.create_map(*(x for k, v in send.items() for x in (F.lit(k), F.array(*(F.lit(p) for p in v)))))
-        halo = F.try_element_at(table, F.col("k"))
-    own = F.array(F.struct(part.alias("p"), F.lit(False).alias("halo")))
-    extra = F.coalesce(F.transform(halo, lambda p: F.struct(p.alias("p"), F.lit(True).alias("halo"))), F.array().cast("array<struct<p:int,halo:boolean>>"))
-    placed = d.select("k", "doc_id", "text", F.explode(F.concat(own, extra)).alias("to")).select(F.col("to.p").alias("p"), F.col("to.halo").alias("halo"), "k", "doc_id", "text")
-    return placed.repartition(parts, "p").sortWithinPartitions("p", "halo", F.desc("k"), "text")
+    parts = shuffle_parts(docs.sparkSession)
+    least, most = -(1 << 63), (1 << 63) - 1
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("k"), "doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
+    found = Counter(d.agg(F.percentile_approx("k", [(i + 1) / parts for i in range(parts - 1)] or [0.5], 10000)).first()[0] or [])
+    bounds = [(k, t) for k, n in sorted(found.items()) for t in ([*(least + j * (1 << 64) // n for j in range(n)), most] if n > 1 else [most])]
+    at = lambda k, t, *more: F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).cast("long").alias("t"), *more)
+    below = lambda s: (s["k"] < F.col("k")) | ((s["k"] == F.col("k")) & (s["t"] < F.col("th")))
+    part = F.size(F.filter(F.array(*(at(*b) for b in bounds)), below)) if bounds else F.lit(0)
+    tops = sorted((r[0], tuple(r[1])) for r in d.groupBy(part.alias("p")).agg(F.max(F.struct("k", "th"))).collect())
+    send = F.array(*(at(*top, F.lit(p).alias("p")) for (p, _), (_, top) in zip(tops, [*tops[-1:], *tops[:-1]], strict=True))) if tops else None
+    none = F.array().cast("array<struct<p:int,halo:boolean>>")
+    halo = none if send is None else F.transform(F.filter(send, lambda s: (s["k"] == F.col("k")) & (s["t"] == F.col("th"))), lambda s: F.struct(s["p"].alias("p"), F.lit(True).alias("halo")))
+    placed = d.select("k", "th", "doc_id", "text", F.explode(F.concat(F.array(F.struct(part.alias("p"), F.lit(False).alias("halo"))), halo)).alias("to"))
+    placed = placed.select(F.col("to.p").alias("p"), F.col("to.halo").alias("halo"), "k", "th", "doc_id", "text")
+    return placed.repartitionById(max(parts, len(bounds) + 1), "p").sortWithinPartitions("p", "halo", F.desc("k"), F.desc("th")).drop("k", "th")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The next document is that of the next lower doc_id (after the last: the first; alone: itself).
-    Null or empty text: the fingerprint of no words. Rows that share a doc_id follow by text;
+    Null or empty text: the fingerprint of no words. Rows that share a doc_id follow by a hash of
+    their text; doc_id is an integer;
     repeated rows are documents of their own; empty input gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -158,4 +157,4 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                 kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return with_next(docs).drop("k").mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
