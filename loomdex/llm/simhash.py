@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,8 +13,7 @@ from loomdex.llm.graph import components
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-BANDS = RADIUS + 1  # by the pigeonhole principle one of them agrees
-#: Band values with more fingerprints than this are keyed again by a band of the other 48 bits.
+#: Buckets with more fingerprints than this are dealt again by bands of their other bits.
 HOT = 4096
 PLANES_AT_ONCE = 8
 ROWS_AT_ONCE = 1 << 16
@@ -195,29 +196,47 @@ def spanning_batches(batches, read, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
 
+def _dealt(rows: DataFrame, bits: int, radius: int) -> tuple[DataFrame, int]:
+    """Rows (fp, key, rest) keyed anew by each band of the ``bits`` low bits of rest; the rest of those; how many bits that has.
+
+    By the pigeonhole principle two rests within the radius agree in one of radius + 1 bands.
+    """
+    edges = [i * bits // (radius + 1) for i in range(radius + 2)]
+    bands = []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        band = F.expr(f"shiftrightunsigned(rest, {low}) & {(1 << high - low) - 1}")
+        below = F.expr(f"rest & {(1 << low) - 1}")
+        above = F.expr(f"shiftleft(shiftrightunsigned(rest, {high}), {low})") if high < 64 else F.lit(0).cast("long")
+        bands.append(F.struct(F.xxhash64("key", F.lit(low), band).alias("key"), below.bitwiseOR(above).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*bands)).alias("to")).select("fp", "to.key", "to.rest"), bits - edges[1]
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that connect all fingerprints of ``distinct`` (fp) at 3 or fewer differing bits.
 
     Each fingerprint goes to four buckets by its 16-bit bands. A bucket of over HOT is dealt again
-    by four 12-bit bands of its other 48 bits (the pigeonhole principle holds there too), so no link
-    is lost. A bucket streams through one task as longs; only a spanning set of its links leaves it.
+    by four bands of its other bits, and so on; a bucket whose members agree in more and more bits
+    ends with few, so none is unbounded and no link is lost. A bucket streams through one task as
+    longs; only a spanning set of its links leaves it.
     """
     spark = distinct.sparkSession
-    band = lambda i: F.expr(f"(shiftrightunsigned(fp, {16 * i}) & 65535) * 4 + {i}")
-    keyed = distinct.select("fp", F.explode(F.array(*(band(i) for i in range(BANDS)))).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("is_hot"))
-    keyed = keyed.join(hot, "key", "left")
-    # the other 48 bits: those above the band, moved down over it, and those below
-    at = "cast(16 * (key % 4) as int)"
-    rest = F.expr(f"(fp & (shiftleft(1L, {at}) - 1)) | (CASE WHEN key % 4 = 3 THEN 0L ELSE shiftleft(shiftrightunsigned(fp, {at} + 16), {at}) END)")
-    sub = lambda i: F.expr(f"(shiftrightunsigned(rest, {12 * i}) & 4095) * 4 + {i}")
-    keyed = keyed.withColumn("rest", rest).select("fp", "key", F.explode(F.when(F.col("is_hot"), F.array(*(sub(i) for i in range(BANDS)))).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
-    dealt = keyed.repartition(shuffle_parts(spark), "key", "sub").sortWithinPartitions("key", "sub", "fp")
+    keyed, bits = _dealt(distinct.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest")), 64, RADIUS)
+    buckets = []
+    while True:
+        keyed = cut(keyed)
+        hot = keyed.groupBy("key").count().where(F.col("count") > HOT).select("key") if 1 << bits > HOT else None
+        if hot is None or hot.isEmpty():
+            buckets.append(keyed)
+            break
+        hot = cut(hot)
+        buckets.append(keyed.join(hot, "key", "left_anti"))
+        keyed, bits = _dealt(keyed.join(hot, "key", "left_semi"), bits, RADIUS)
+    dealt = functools.reduce(DataFrame.union, buckets).select("key", "fp").repartition(shuffle_parts(spark), "key").sortWithinPartitions("key", "fp")
 
     def run(batches):
         def read(b):
-            f, k, sub = (b.column(i).to_numpy() for i in range(3))
-            return k * 16385 + sub + 1, f, f.view(np.uint64)
+            key, f = (b.column(i).to_numpy() for i in range(2))
+            return key, f, f.view(np.uint64)
 
         yield from spanning_batches(batches, read, RADIUS)
 

@@ -54,7 +54,7 @@ def test_bit_slices_against_all_pairs(seed, radius):
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4096, 40, 9])
 def test_links_connect_what_is_close(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash, "HOT", hot)
     r = random.Random(hot)
