@@ -208,15 +208,3 @@ def parse_files(files: DataFrame) -> DataFrame:
     grammar = F.when(vue, F.col("__block.language")).otherwise(T.grammar_of(F.col("path")))
     text = F.when(vue, F.col("__block.script")).otherwise(F.col("content"))
     return d.withColumn("parsed", run(grammar, text, F.col("__block.line_offset"))).drop("__block")
-
-
-#: One small file a language, for the queries.
-SAMPLES = [
-    ("a.ts", "// line 1\nimport { x } from '../utils/helpers';\nexport * from './types';\nconst fs = require('fs');\nexport async function fetchUser(id: string) { return id; }\nclass Store {\n  constructor(private a: number) {}\n  async find(id: string): Promise<void> { if (id) { fetchUser(id); } }\n}\ninterface Shape { a: number }\ntype Id = string;\nenum Color { Red }\nconst add = (a: number, b: number): number => a + b;\n"),
-    ("b.py", "from .utils import helper\nfrom ..models import User\nimport os\n@app.route('/')\ndef index():\n    pass\nclass Repo:\n    def find(self):\n        def inner(): pass\n"),
-    ("c.go", 'package main\nimport (\n\t"fmt"\n\t"./internal/config"\n)\nfunc Run() {}\nfunc (s *Server) Start() {}\ntype Server struct { a int }\ntype Doer interface { Do() }\ntype Id = string\n'),
-    ("d.rs", "use crate::utils::helper;\npub fn run() {}\nstruct P { x: i32 }\nenum E { A }\ntrait T { fn t(&self); }\nimpl T for P { fn t(&self) {} }\ntype Id = u32;\n"),
-    ("e.java", "package x;\nimport com.example.UserService;\n@Service\npublic class Api {\n  private int n = 0;\n  public Api(int n) { this.n = n; }\n  public int get() { return n; }\n}\ninterface Port { void open(); }\nenum Kind { A, B }\n@interface Mark {}\n"),
-    ("f.vue", '<template>\n  <div/>\n</template>\n<script lang="ts">\nfunction foo() {}\n</script>\n'),
-    ("g.txt", "function no() {}"),
-]

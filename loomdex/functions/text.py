@@ -85,6 +85,22 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
+def relative_path(base: Column, path: Column) -> Column:
+    """``path`` as seen from the folder ``base``."""
+    here, there = F.split(normal_path(base), "/"), F.split(normal_path(path), "/")
+    same = F.aggregate(F.sequence(F.lit(1), F.least(F.size(here), F.size(there))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.get(here, i - 1) == F.get(there, i - 1)), i).otherwise(n))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(here) - same), F.slice(there, same + 1, F.size(there))), "/")
+
+
+def iso_time(ts: Column) -> Column:
+    """As in 2024-01-31T12:00:00.000Z, whatever the session's zone."""
+    return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_now() -> Column:
+    return iso_time(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 

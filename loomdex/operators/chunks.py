@@ -119,7 +119,7 @@ def first_fit(sizes: list[int], budget: int) -> list[list[int]]:
 
 
 def groups(chunk: DataFrame, max_chars: int = 60_000) -> DataFrame:
-    """(path, group_no, chunk_indexes, symbol_names, combined_content): each file's chunks packed first-fit under ``max_chars``.
+    """(path, group_no, chunk_indexes, members, symbol_names, combined_content): each file's chunks packed first-fit under ``max_chars``.
 
     Each choice depends on the one before, so a file's sizes go through Python; its texts do not.
     """
@@ -138,7 +138,21 @@ def groups(chunk: DataFrame, max_chars: int = 60_000) -> DataFrame:
     members = chunk.join(placed, ["path", "chunk_index"]).groupBy("path", "group_no")
     g = members.agg(F.first("preamble").alias("preamble"), F.array_sort(F.collect_list(F.struct("place", "chunk_index", "symbol_names", "content"))).alias("m"))
     body = F.array_join(F.transform("m", lambda x: x["content"]), "\n")
-    return g.select("path", "group_no", F.transform("m", lambda x: x["chunk_index"]).alias("chunk_indexes"), F.flatten(F.transform("m", lambda x: x["symbol_names"])).alias("symbol_names"), F.when(F.col("preamble") == "", body).otherwise(F.concat("preamble", F.lit("\n"), body)).alias("combined_content"))
+    return g.select("path", "group_no", F.transform("m", lambda x: x["chunk_index"]).alias("chunk_indexes"), F.transform("m", lambda x: F.struct(x["chunk_index"].alias("chunk_index"), x["symbol_names"].alias("symbol_names"))).alias("members"), F.flatten(F.transform("m", lambda x: x["symbol_names"])).alias("symbol_names"), F.when(F.col("preamble") == "", body).otherwise(F.concat("preamble", F.lit("\n"), body)).alias("combined_content"))
+
+
+def assign(answers: DataFrame) -> DataFrame:
+    """(path, chunk_index, overview, symbols) of groups (path, group_no, members, overview, symbols).
+
+    A chunk gets the symbols whose names it declares; symbols that no chunk of the group declares, and the
+    overview, go to the group's first chunk. All of it happens within a group's row.
+    """
+    declared = F.flatten(F.transform("members", lambda m: m["symbol_names"]))
+    rest = F.filter("symbols", lambda s: ~F.array_contains(declared, s["name"]))
+    d = answers.select("path", "overview", "symbols", rest.alias("rest"), F.posexplode("members").alias("place", "m"))
+    own = F.filter("symbols", lambda s: F.array_contains(F.col("m.symbol_names"), s["name"]))
+    first = F.col("place") == 0
+    return d.select("path", F.col("m.chunk_index").alias("chunk_index"), F.when(first, F.coalesce("overview", F.lit(""))).otherwise("").alias("overview"), F.when(first, F.concat(own, "rest")).otherwise(own).alias("symbols"))
 
 
 def batch_plan(files: DataFrame, small_bytes: int = SMALL_BYTES, per_batch: int = BATCH_FILES) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomdex.functions import text as T
+from loomdex.operators.storage import kept
 
 # What is tried behind a path, in this order, per language.
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".go", "/index.ts", "/index.tsx", "/index.js")
@@ -76,35 +77,26 @@ def reverse_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     return e.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "src"))), lambda x: x["src"]).alias("imported_by"))
 
 
+def first_importers(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(path, used_by): a file's first ``most`` importers by scan order (src_seq, where edges have it), else by path. A hub's others never meet in one value."""
+    order = ["src_seq", "src"] if "src_seq" in edges.columns else ["src"]
+    e = edges.select(F.col("dst").alias("path"), *order).distinct()
+    e = e.withColumn("rn", F.row_number().over(W.partitionBy("path").orderBy(*order))).where(F.col("rn") <= most)
+    return e.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "src"))), lambda x: x["src"]).alias("used_by"))
+
+
 def graph_stats(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     count = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
     f, s, e = count(files, "total_files"), count(symbols, "total_symbols"), count(edges, "total_edges")
     return f.select("total_files", s.scalar().alias("total_symbols"), e.scalar().alias("total_edges"))
 
 
-def levels(files: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
-    """(path, level): length of the longest import walk from a file, up to ``most``; cycles run into the bound.
-
-    Each round is a semi-join with the nodes of the round before, so nothing is multiplied; the edges are
-    kept for all rounds, in memory or on disk, and made anew where an executor is lost.
-    """
-    edges = edges.select("src", "dst").persist()
-    reached = files.select("path")
-    out = reached.withColumn("level", F.lit(0))
-    for k in range(1, most + 1):
-        reached = edges.select(F.col("src").alias("path"), "dst").join(reached.select(F.col("path").alias("dst")), "dst", "left_semi").select("path").distinct().persist()  # the next round and the union both read it
-        out = out.unionByName(reached.withColumn("level", F.lit(k)))
-    return out.groupBy("path").agg(F.max("level").alias("level"))
-
-
-def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, level): length of the longest import walk from a file, however long; null on a cycle and for what imports from one.
 
     Each round takes away the edges to files that have a level; a file whose last edge went gets the round's number.
     Rounds are as many as the longest chain without cycles has files; each is checkpointed, so plans stay short.
     """
-    from loomdex.plans.workflow import kept
-
     nodes = kept(files.select("path").distinct())
     rest = kept(edges.select("src", "dst").join(nodes.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst").distinct())
     done = nodes.join(rest.select(F.col("src").alias("path")), "path", "left_anti")
@@ -124,7 +116,7 @@ def depths(files: DataFrame, edges: DataFrame) -> DataFrame:
 def dependency_order(files: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, position): depth-first post-order over files in scan order, imports first, cycles cut where met.
 
-    The order is one walk, so it runs in one task and holds the paths and edges in memory; ``depths``
+    The order is one walk, so it runs in one task and holds the paths and edges in memory; ``levels``
     is the distributed alternative.
     """
     rows = files.select("path", "seq").join(edges.groupBy(F.col("src").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("deps")), "path", "left")

@@ -68,10 +68,14 @@ def key_symbols(symbols: DataFrame, most: int = KEY_SYMBOLS) -> DataFrame:
     return symbols.where(F.col("kind").isin(*KEY_KINDS)).orderBy("seq", "pos").limit(most)
 
 
-def search(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query, ref, score): references by how many of a query's words lead to them. index: (word, ref); terms: (query, text)."""
+def search(index: DataFrame, terms: DataFrame, most: int | None = None) -> DataFrame:
+    """(query, ref, score): references by how many of a query's words lead to them, all or the best ``most`` (then by ref). index: (word, ref); terms: (query, text)."""
     words = T.exploded_words(terms, "text", "query")
-    return words.join(index, "word").groupBy("query", "ref").agg(F.count(F.lit(1)).alias("score"))
+    found = words.join(index, "word").groupBy("query", "ref").agg(F.count(F.lit(1)).alias("score"))
+    if most is None:
+        return found
+    best = W.partitionBy("query").orderBy(F.desc("score"), "ref")  # Spark keeps ``most`` rows a query in each task before it deals them
+    return found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= most).drop("rn")
 
 
 def markdown() -> Column:
@@ -102,8 +106,8 @@ def markdown() -> Column:
 
 
 def overview_lines(files: DataFrame) -> DataFrame:
-    """(dir, place, line): the list of files of the overview, by directory and path."""
-    w = W.partitionBy("dir").orderBy("path")
+    """(dir, place, line): the list of files of the overview, by directory and path as people sort it (Unicode collation)."""
+    w = W.partitionBy("dir").orderBy(F.collate("path", "UNICODE"), "path")
     d = files.select(T.dirname(F.col("path")).alias("dir"), "path", "overview")
     return d.select("dir", F.row_number().over(w).alias("place"), F.concat(F.lit("- **`"), F.col("path"), F.lit("`** — "), T.inline_overview(F.col("overview"))).alias("line"))
 

@@ -62,6 +62,9 @@ class Provider(Protocol):
 BATCH_HEAD = "Several files; answer with one object keyed by their paths."
 
 
+NO_OVERVIEW = "\nFields: symbols; leave overview empty"
+
+
 class Stub:
     """Answers from the prompt alone: an overview line and one symbol for each declared name, by file where there are several."""
 
@@ -71,7 +74,7 @@ class Stub:
         for part in re.split(r"(?m)^(?=File: )", prompt)[1:]:
             path, names = part.split("\n", 1)[0][6:], re.search(r"^Defines: (.*)$", part, re.M)
             symbols = [{"name": n, "kind": "symbol", "line": 0, "purpose": f"Defines {n}.", "behavior": ""} for n in names[1].split(", ")] if names and names[1] else []
-            entries.setdefault(path, {"overview": f"Overview of {path}.", "symbols": symbols})
+            entries.setdefault(path, {"overview": "" if f"{NO_OVERVIEW}\n```\n" in part else f"Overview of {path}.", "symbols": symbols})
         whole = entries if prompt.startswith(BATCH_HEAD) else next(iter(entries.values()), {"overview": "Overview of a file.", "symbols": []})
         body = json.dumps(whole)
         return Reply(body, len(prompt) // 4, len(body) // 4)
@@ -265,10 +268,10 @@ def is_retryable(error: Column) -> Column:
 
 
 def prompt() -> Column:
-    """The prompt of a group: columns path, language, group_no, n_groups, symbol_names, dep_context, combined_content."""
+    """The prompt of a group: columns path, language, group_no, n_groups, wants_overview, symbol_names, dep_context, combined_content."""
     c, line = F.col, lambda title, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"\n{title}: "), v)).otherwise("")
     part = F.when(c("n_groups") > 1, F.concat(F.lit("\nPart: "), (c("group_no") + 1).cast("string"), F.lit("/"), c("n_groups").cast("string"))).otherwise("")
-    ask = F.when(c("group_no") == 0, "\nFields: overview, symbols").otherwise("\nFields: symbols; leave overview empty")
+    ask = F.when(c("wants_overview"), "\nFields: overview, symbols").otherwise(NO_OVERVIEW)
     return F.concat(F.lit("File: "), c("path"), F.lit("\nLanguage: "), c("language"), part, line("Dependencies", c("dep_context")), line("Defines", F.array_join("symbol_names", ", ")), ask, F.lit("\n```\n"), c("combined_content"), F.lit("\n```"))
 
 
@@ -287,13 +290,15 @@ def batch_prompt(sections: Column, paths: Column) -> Column:
 def call_model(rows: DataFrame, make: Callable[[], Provider] = Stub, rpm: int = 10_000, concurrency: int = 1, max_tokens: int = MAX_TOKENS_SINGLE) -> DataFrame:
     """``rows`` (with ``prompt``) plus reply, input_tokens, output_tokens, tokens_used, duration_ms and error.
 
-    ``concurrency`` partitions call at once and share the rate evenly. Write the result before using
-    it twice: a second action would call again.
+    ``concurrency`` partitions, but no more than the rate allows calls, call at once and share the rate
+    evenly; with one, all rows go through a single task. Write the result before using it twice: a
+    second action would call again.
     """
+    concurrency = max(1, min(concurrency, rpm))
     names = ["reply", "input_tokens", "output_tokens", "tokens_used", "duration_ms", "error"]
 
     def run(frames):
-        provider, limiter = make(), RateLimiter(max(1, rpm // concurrency))
+        provider, limiter = make(), RateLimiter(rpm // concurrency)
         for f in frames:
             out = []
             for text in f["prompt"]:

@@ -14,13 +14,13 @@ def micros(ts: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
 
 
-def tally_calls(calls: DataFrame, *by: str) -> DataFrame:
+def tally_calls(calls: DataFrame, *by: str, more: tuple[Column, ...] = ()) -> DataFrame:
     """Calls, time and tokens: input and output where a call tells either, else its total as unsplit."""
     split = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull()
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return calls.groupBy(*by).agg(
         F.count(F.lit(1)).alias("request_count"), total("duration_ms").alias("total_duration_ms"), total("input_tokens").alias("input_tokens"),
-        total("output_tokens").alias("output_tokens"), total(F.when(~split, F.col("tokens_used"))).alias("unsplit_tokens"),
+        total("output_tokens").alias("output_tokens"), total(F.when(~split, F.col("tokens_used"))).alias("unsplit_tokens"), *more,
     )
 
 
@@ -80,6 +80,12 @@ def sessions(events: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame
     return events.groupBy(key, w).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("fires_at"), "n")
 
 
+def run_record(calls: DataFrame, provider: str, *by: str) -> DataFrame:
+    """One run's row for the history (with ``by``: several): provider, request_count, duration_ms, tokens, errors (calls that failed)."""
+    t = tally_calls(calls, *by, more=(F.count("error").alias("errors"),))
+    return t.withColumnRenamed("total_duration_ms", "duration_ms").withColumn("provider", F.lit(provider))
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     """History is append-only and unbounded; displays take the last of it."""
     runs.write.mode("append").parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomdex.functions import parsing, replies, text as T
+from loomdex.functions import text as T
 from loomdex.operators import cache, chunks, graph, index, usage
 from loomdex.plans import corpus
 from loomdex.plans.corpus import table
@@ -61,17 +61,19 @@ def keyword_top_terms(spark, d):
 
 @query(f"""with {FILES}, k as (select path, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f),
 b as (select item_id as query, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+'))) as word from benchmark)
-select query, path as ref, count(*) as score from b join k using (word) where length(word) >= 3 and word not in ({STOP}) group by all having score >= 20""")
+select query, path as ref, count(*) as score from b join k using (word) where length(word) >= 3 and word not in ({STOP}) group by query, path
+qualify row_number() over (partition by query order by score desc, ref) <= 20""")
 def keyword_search(spark, d):
+    """The twenty best matches of each query."""
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return index.search(index.keyword_refs(corpus.texts(spark, d), "content", "path"), terms).where("score >= 20")
+    return index.search(index.keyword_refs(corpus.texts(spark, d), "content", "path"), terms, 20)
 
 
 @query(f"""with {FILES}, k as (select path, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_]+'))) as word from f),
 b as (select item_id as query, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9_]+'))) as word from benchmark)
 select query, path as ref, count(*) as score from b join k using (word) where length(word) >= 3 and word not in ({STOP}) group by all""")
 def keyword_search_all(spark, d):
-    """keyword_search with all matches, not only those of 20 shared words or more."""
+    """keyword_search with all matches."""
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
     return index.search(index.keyword_refs(corpus.texts(spark, d), "content", "path"), terms)
 
@@ -105,14 +107,6 @@ def filter_excluded(spark, d):
     return corpus.files(spark, d).where(~sources.excluded(F.col("path"), ["src1/**", "**/*_*7.ts", "**/de/**"])).select("path")
 
 
-@query("""select * from (values ('node_modules/a.ts', true, false), ('src/node_modules/b.ts', true, true), ('dist/x.js', true, false), ('a/xgit/b.ts', false, true),
-('a/.git/b', true, true), ('web/app.min.js', true, true), ('src/main.ts', false, false)) as t(path, as_glob, as_compat)""")
-def exclude_modes(spark, d):
-    paths = ["node_modules/a.ts", "src/node_modules/b.ts", "dist/x.js", "a/xgit/b.ts", "a/.git/b", "web/app.min.js", "src/main.ts"]
-    f = spark.createDataFrame([(p,) for p in paths], "path string")
-    return f.select("path", *(sources.excluded(F.col("path"), sources.EXCLUDES, m).alias(f"as_{m}") for m in ("glob", "compat")))
-
-
 @query(f"with {FILES} select path, size_bytes from f where path ^@ 'src2/' or path ^@ 'src3/en/' or path = 'src4/en/doc_4.ts'")
 def include_list(spark, d):
     text = spark.createDataFrame([("# folders\nsrc2\n src3/en/ \n\nsrc3/en\nsrc4/en/doc_4.ts\nmissing\n",)], "text string")
@@ -173,18 +167,6 @@ def symbol_chunks(spark, d):
     return c.select("path", "chunk_index", "id", "content_hash", F.array_join("symbol_names", ",").alias("symbol"), "start_line", "end_line", F.length("content").alias("n_chars"))
 
 
-@query("""select * from (values (1, 0, 'aaaa' || chr(10) || 'bbbb'), (1, 1, 'cccc' || chr(10) || chr(10) || chr(10) || 'dd'), (2, 0, 'abcdefghijklmnop'), (2, 1, 'z'), (3, 0, 'short')) as t(id, n, chunk)""")
-def line_chunks(spark, d):
-    f = spark.createDataFrame([(1, "aaaa\nbbbb\ncccc\n\n\ndd"), (2, "\n\nabcdefghijklmnop\nz"), (3, "short")], "id int, text string")
-    return f.select("id", F.posexplode(T.chunk_lines(F.col("text"), 10)).alias("n", "chunk"))
-
-
-@query()
-def document_line_chunks(spark, d):
-    f = corpus.texts(spark, d)
-    return f.select("path", F.posexplode(T.chunk_lines(F.col("content"), 2000)).alias("n", "chunk")).select("path", "n", F.length("chunk").alias("n_chars"))
-
-
 @query(f"""with {FILES}, {LINES}, {SYMBOLS}, {REGIONS}, {EDGES},
 c as (select r.path, n, unnest(list_distinct(regexp_split_to_array(array_to_string(string_split(f.content, chr(10))[start_line + 1:end_line + 1], chr(10)), '[^A-Za-z0-9_]+'))) as name from r join f using (path)),
 i as (select distinct e.src as path, s.name from e join s on s.path = e.dst where length(s.name) > 2 and regexp_matches(s.name, '^[A-Za-z0-9_]+$'))
@@ -196,13 +178,6 @@ def chunk_refs(spark, d):
     return chunks.references(chunks.chunks(s, f).where(F.size("symbol_names") > 0), corpus.edges(spark, d), plain)
 
 
-@query()
-def chunk_refs_any_name(spark, d):
-    f = corpus.texts(spark, d)
-    s = corpus.symbols(f)
-    return chunks.references(chunks.chunks(s, f), corpus.edges(spark, d), s)
-
-
 @query(f"""with {FILES}, {LINES}, {SYMBOLS}, {EDGES}, x2 as (select src as path, e.pos, dst, string_agg(name || '(' || kind || ')', ', ' order by s.pos) as names from e join s on s.path = e.dst group by all)
 select path, string_agg('`' || dst || '` exports: ' || names, '; ' order by pos) as dep_context from x2 group by path""")
 def export_context(spark, d):
@@ -238,49 +213,14 @@ def graph_stats(spark, d):
     return graph.graph_stats(f.select("path"), corpus.symbols(f), corpus.edges(spark, d))
 
 
-_TREE = [
-    "src/utils/helpers.ts", "src/config.ts", "src/utils.ts", "src/components/index.ts", "src/shared.ts", "lib/utils.js", "src/Button.tsx",
-    "src/main/java/com/example/UserService.java", "other/com/example/UserService.java", "app/utils.py", "app/pkg/__init__.py", "app/pkg/deep/mod.py", "src/net/mod.rs", "src/utils.rs", "src/net/tcp.rs",
-]
-
-
-def _resolved(spark, rows):
-    files = spark.createDataFrame([(p, i) for i, p in enumerate(_TREE)], "path string, seq long")
-    return graph.import_edges(spark.createDataFrame(rows, "src string, pos int, spec string"), files)
-
-
-@query("""select * from (values ('src/services/api.ts', 0, 'src/utils/helpers.ts'), ('src/index.ts', 0, 'src/config.ts'), ('src/index.ts', 1, 'src/components/index.ts'), ('src/app.ts', 0, 'src/utils.ts'),
-('src/main.ts', 0, 'src/shared.ts'), ('lib/index.js', 0, 'lib/utils.js'), ('src/App.tsx', 0, 'src/Button.tsx')) as t(src, pos, dst)""")
-def script_imports(spark, d):
-    return _resolved(spark, [("src/services/api.ts", 0, "../utils/helpers"), ("src/index.ts", 0, "./config"), ("src/index.ts", 1, "express"), ("src/index.ts", 2, "./components"), ("src/app.ts", 0, "./utils.ts"), ("src/main.ts", 0, "./shared"), ("src/main.ts", 1, "./shared"), ("lib/index.js", 0, "./utils"), ("src/App.tsx", 0, "./Button"), ("src/App.tsx", 1, "../../outside")])
-
-
-@query("""select * from (values ('x/UserController.java', 0, 'src/main/java/com/example/UserService.java'), ('x/UserController.java', 1, 'other/com/example/UserService.java')) as t(src, pos, dst)""")
-def java_suffix_imports(spark, d):
-    return _resolved(spark, [("x/UserController.java", 0, "com.example.UserService"), ("x/UserController.java", 1, "com.example.*"), ("x/UserController.java", 2, "java.util.List"), ("x/UserController.java", 3, "example.UserService")])
-
-
-@query("""select * from (values ('src/main.rs', 0, 'src/utils.rs'), ('src/main.rs', 1, 'src/net/mod.rs'), ('src/net/udp.rs', 0, 'src/net/tcp.rs'), ('src/net/udp.rs', 1, 'src/utils.rs')) as t(src, pos, dst)""")
-def rust_crate_imports(spark, d):
-    return _resolved(spark, [("src/main.rs", 0, "crate::utils"), ("src/main.rs", 1, "std::collections::HashMap"), ("src/main.rs", 2, "crate::net"), ("src/net/udp.rs", 0, "self::tcp"), ("src/net/udp.rs", 1, "super::utils"), ("src/net/udp.rs", 2, "crate::m::Item")])
-
-
-@query("""select * from (values ('app/views.py', 0, 'app/utils.py'), ('app/views.py', 1, 'app/pkg/__init__.py'), ('app/pkg/deep/a.py', 0, 'app/pkg/deep/mod.py'), ('app/pkg/deep/a.py', 1, 'app/pkg/__init__.py'), ('app/pkg/deep/a.py', 2, 'app/utils.py')) as t(src, pos, dst)""")
-def python_relative_imports(spark, d):
-    return _resolved(spark, [("app/views.py", 0, ".utils"), ("app/views.py", 1, "os"), ("app/views.py", 2, ".pkg"), ("app/pkg/deep/a.py", 0, ".mod"), ("app/pkg/deep/a.py", 1, ".."), ("app/pkg/deep/a.py", 2, "...utils")])
-
-
-@query(f"""with recursive {FILES}, {EDGES}, walk(path, level) as (select path, 0 from f union select e.src, level + 1 from walk join e on e.dst = walk.path where level < 8) select path, max(level)::int as level from walk group by path""")
+@query(f"""with recursive {FILES}, {EDGES}, reach(a, b) as (select src, dst from e union select r.a, e.dst from reach as r join e on e.src = r.b),
+cyc as (select distinct a from reach where a = b), bad as (select a as path from cyc union select a from reach where b in (select a from cyc)),
+walk(path, level) as (select path, 0 from f where path not in (select path from bad) union select e.src, level + 1 from walk join e on e.dst = walk.path where e.src not in (select path from bad))
+select path, max(level)::int as level from walk group by path union all select path, null from bad""")
 def topo_levels(spark, d):
     return graph.levels(corpus.files(spark, d).select("path"), corpus.edges(spark, d))
 
 
-@query()
-def topo_depths(spark, d):
-    """topo_levels without its bound of eight; what depends on a cycle has a null level."""
-    return graph.depths(corpus.files(spark, d).select("path"), corpus.edges(spark, d))
-
-
 @query()
 def topo_dfs(spark, d):
     return graph.dependency_order(corpus.files(spark, d).select("path", "seq"), corpus.edges(spark, d))
@@ -293,27 +233,6 @@ def pack_groups(spark, d):
     return g.select("path", "group_no", F.array_join("chunk_indexes", ",").alias("chunk_indexes"), F.size("symbol_names").alias("n_symbols"), T.utf16_length(F.col("combined_content")).alias("size"))
 
 
-@query("""select * from (values (1, '{"overview":"A helper module","symbols":[]}'), (2, '{"a":1}'), (3, '{"a":1}'), (4, '{"a":1}'), (5, '{"code":"{this is not a brace}","name":"test"}'),
-(6, '{"msg":"He said \\"hello\\""}'), (7, null), (8, null), (9, null), (10, '[1]')) as t(id, found)""")
-def extract_json(spark, d):
-    rows = ['{"overview":"A helper module","symbols":[]}', '{"a":1}\n\nSome trailing text', '```json\n{"a": 1}\n```', 'Here is the analysis: {"a":1}', 'x {"code":"{this is not a brace}","name":"test"}', '{"msg":"He said \\"hello\\""}', "", "no brace", '{"a": 1', "[1]"]
-    return spark.createDataFrame(list(enumerate(rows, 1)), "id int, reply string").select("id", replies.extract_json("reply").alias("found"))
-
-
-@query("""select * from (values (1, 'unknown', 'unknown', 0, '', '', null, null), (2, 'f', 'function', 3, 'p', '', 'x', null)) as t(id, name, kind, line, purpose, behavior, parameters, returns)""")
-def normalize_symbols(spark, d):
-    f = spark.createDataFrame([(1, '{"symbols":[{}]}'), (2, '{"symbols":[{"name":"f","kind":"function","line":3,"purpose":"p","parameters":"x"}]}')], "id int, reply string")
-    return f.select("id", F.explode(replies.normal_symbols(replies.parse_reply(F.col("reply"))["symbols"])).alias("s")).select("id", "s.name", "s.kind", "s.line", "s.purpose", "s.behavior", "s.parameters", "s.returns")
-
-
-@query("""select * from (values ('src/a.ts', 'A'), ('lib/b.ts', 'B'), ('c.ts', '')) as t(path, overview)""")
-def batch_replies(spark, d):
-    reply = '{"src/a.ts":{"overview":"A","symbols":[]},"b.ts":{"overview":"B"}}'
-    f = spark.createDataFrame([(p, reply) for p in ("src/a.ts", "lib/b.ts", "c.ts")], "path string, reply string")
-    found = F.from_json(replies.extract_json("reply"), replies.BATCH_REPLY)
-    return f.select("path", F.coalesce(replies.batch_entry(found, F.col("path"))["overview"], F.lit("")).alias("overview"))
-
-
 CALLS = """c as (select event_type as provider, ts, event_id, trunc(value * 100)::bigint as tokens, event_id % 3 = 0 as whole, cast(json_extract_string(props, '$.k') as bigint) as ms from events)"""
 
 
@@ -369,13 +288,6 @@ def changed_files(spark, d):
     return changed.snapshot_diff(*corpus.snapshots(spark, d))
 
 
-@query("""select * from (values ('a', true, false), ('b', true, false), ('c', false, true), ('d', false, true), ('e', true, true), ('f', true, false), ('new', true, false), ('old', false, true)) as t(path, needs_analysis, deleted)""")
-def change_union(spark, d):
-    lines = spark.createDataFrame([("A\ta",), ("M\tb",), ("D\tc",), ("D\te",), ("D\tf",), ("R100\told\tnew",)], "line string")
-    un = spark.createDataFrame([("D\td",), ("M\tf",)], "line string")
-    return changed.changed_files(changed.name_status(lines), changed.name_status(un), spark.createDataFrame([("e",)], "path string"))
-
-
 @query(f"""with {FILES}, o as (select path, sha256(content) as h from f where seq % 10 <> 0), n as (select path, seq, sha256(case when seq % 7 = 0 then content || ' changed' else content end) as h from f where seq % 13 <> 5),
 fresh as (select n.path, n.h from n left join o using (path) where o.h is distinct from n.h and n.seq % 4 <> 0)
 select path, h as content_hash, 'fresh' as origin from fresh union all select path, h, 'kept' from o where path not in (select path from fresh) and path in (select path from n)""")
@@ -459,27 +371,4 @@ def context_markdown(spark, d):
         "chunk_count": F.when(F.col("seq") % 5 == 0, 0).otherwise(1), "analyzed_at": F.lit("2024-01-01T00:00:00.000Z"),
         "symbols": F.array().cast("array<struct<name:string,kind:string,line:int,purpose:string,behavior:string,parameters:string,returns:string,limitations:string,used_by:array<string>>>"),
     })
-    return c.select("path", F.sha2(F.encode(index.markdown(), "UTF-8"), 256).alias("markdown_hash"))
-
-
-@query()
-def parsed_symbols(spark, d):
-    f = spark.createDataFrame(parsing.SAMPLES, "path string, content string")
-    return parsing.parse_files(f).select("path", F.posexplode("parsed.symbols").alias("pos", "s")).select("path", "pos", "s.name", "s.kind", "s.line", "s.signature")
-
-
-@query()
-def parsed_imports(spark, d):
-    f = spark.createDataFrame(parsing.SAMPLES, "path string, content string")
-    return parsing.parse_files(f).select("path", F.posexplode("parsed.specs").alias("pos", "spec"))
-
-
-@query()
-def workflow_contexts(spark, d):
-    """The whole run with the offline provider: files to contexts."""
-    from loomdex.plans.workflow import analyze
-
-    f = corpus.texts(spark, d)
-    at_once = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    c = analyze(f, corpus.symbols(f), corpus.edges(spark, d), sources.Settings(concurrent_requests=at_once))
-    return c.select("path", "language", "overview", F.size("symbols").alias("n_symbols"), F.size("dependencies").alias("n_dependencies"), "chunk_count")
+    return c.select("path", F.sha2(F.encode(index.markdown(), "UTF-8"), 256).alias("markdown_hash"))
\ No newline at end of file

@@ -120,6 +120,57 @@ def include_scan(all_files: DataFrame, entries: DataFrame) -> DataFrame:
     return mark.where(F.col("__named").isNotNull() | whole).drop("__named")
 
 
+def collect(spark: SparkSession, root: str, settings: Settings = Settings(), include_file: str = "include") -> DataFrame:
+    """The files that the include list in the state folder names, where there is one; else all that a scan keeps."""
+    entries = read_text(spark, f"{root.rstrip('/')}/{STATE_DIR}/{include_file}")
+    found = read_tree(spark, root, settings)
+    if entries is None:
+        return found
+    text = spark.createDataFrame([(entries,)], "text string")
+    return include_scan(found, text.select(F.explode(parse_include(F.col("text"))).alias("entry")))
+
+
+def write_default_include(spark: SparkSession, root: str, include_file: str = "include") -> str:
+    """Writes the default include list, unless there is one, and returns its address."""
+    path = f"{root.rstrip('/')}/{STATE_DIR}/{include_file}"
+    if not exists(spark, path):
+        fs, p = _store(spark, path)
+        out = fs.create(p, False)
+        out.write(bytearray(DEFAULT_INCLUDE.encode()))
+        out.close()
+    return path
+
+
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _store(spark, path)
+    return bool(fs.exists(p))
+
+
+def size_kb(spark: SparkSession, path: str) -> float:
+    """Kilobytes of a file; 0 where it is not there."""
+    fs, p = _store(spark, path)
+    return fs.getFileStatus(p).getLen() / 1024 if fs.exists(p) else 0.0
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where it is not there."""
+    return spark.read.text(path, wholetext=True).first().value if size_kb(spark, path) else "" if exists(spark, path) else None
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table of a JSON file or folder; None where it is not there or holds no row of ``schema``."""
+    if not exists(spark, path):
+        return None
+    d = spark.read.schema(f"{schema}, __bad string").option("multiLine", "true").option("columnNameOfCorruptRecord", "__bad").json(path).cache()
+    good = d.where("__bad IS NULL").drop("__bad")
+    return None if good.isEmpty() else good
+
+
 def size_capped(d: DataFrame, max_kb: int) -> DataFrame:
     return d.where(F.col("size_bytes") / 1024 <= max_kb * 5)
 

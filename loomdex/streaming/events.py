@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomdex.operators.cache import upsert
+from loomdex.sources.files import Settings, keep_source
 
 
 def bursts(events: DataFrame, key: str, gap: str = "3 seconds", delay: str = "10 seconds", ts: str = "ts") -> DataFrame:
@@ -70,6 +71,37 @@ def limited(events: DataFrame, key: str, limit: int, window_ms: int = 60_000, ts
     return events.select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, allowed boolean", "taken array<long>", "append", "NoTimeout")
 
 
+def file_changes(spark: SparkSession, root: str, settings: Settings = Settings()) -> DataFrame:
+    """A stream (path, content, ts) of files below ``root`` as they are created or written anew; deletions are not seen by a file source."""
+    glob = "*{" + ",".join(settings.extensions) + "}"
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    where = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
+    d = raw.select(F.substring(where, len(root.rstrip("/")) + 2, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("ts"))
+    return keep_source(d, settings)
+
+
+class Restartable:
+    """A stream that is built from settings and built anew when they change; it goes on from its own checkpoint."""
+
+    def __init__(self, build: Callable[[Settings], object]):
+        self.build, self.settings, self.query = build, None, None
+
+    def apply(self, settings: Settings) -> bool:
+        """Starts, or stops and starts again where ``settings`` differ; without auto_update there is no stream. True where something was done."""
+        if settings == self.settings:
+            return False
+        self.stop()
+        self.settings = settings
+        self.query = self.build(settings).start() if settings.auto_update else None
+        return True
+
+    def stop(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+            self.query.awaitTermination()
+        self.query = None
+
+
 def poll(spark: SparkSession, probe: Callable[[], tuple[str, str]], act: Callable[[str, str, str], None], checkpoint: str, every: str = "5 seconds"):
     """Asks ``probe`` for (branch, commit) at each tick and tells ``act`` (kind, branch, commit) what changed: 'branch' or 'commit'."""
     last: list[tuple[str, str]] = []

@@ -89,16 +89,35 @@ def test_order_of_dependencies(spark):
     f = spark.createDataFrame([(p, i) for i, p in enumerate("abcdef")], "path string, seq long")
     e = spark.createDataFrame([("a", 0, "c"), ("a", 1, "b"), ("c", 0, "d"), ("d", 0, "a"), ("e", 0, "e")], "src string, pos int, dst string")
     assert [r.path for r in graph.dependency_order(f, e).orderBy("position").collect()] == ["d", "c", "b", "a", "e", "f"]
-    assert {r.path: r.level for r in graph.levels(f, e, 3).collect()} == {"a": 3, "b": 0, "c": 3, "d": 3, "e": 3, "f": 0}
+    assert {r.path: r.level for r in graph.levels(f, e).collect()} == {"a": None, "b": 0, "c": None, "d": None, "e": None, "f": 0}
 
 
-def test_depths_have_no_bound_and_mark_cycles(spark):
+def test_first_importers_follow_the_scan(spark):
+    e = spark.createDataFrame([(f"f{i}", "hub", 100 - i) for i in range(30)] + [("f1", "other", 99)], "src string, dst string, src_seq long")
+    got = {r.path: r.used_by for r in graph.first_importers(e, 3).collect()}
+    assert got == {"hub": ["f29", "f28", "f27"], "other": ["f1"]}
+    assert {r.path: r.used_by for r in graph.first_importers(e.drop("src_seq"), 2).collect()}["hub"] == ["f0", "f1"]
+
+
+def test_assign(spark):
+    kind = "path string, members array<struct<chunk_index:int,symbol_names:array<string>>>, overview string, symbols array<struct<name:string,line:int>>"
+    d = spark.createDataFrame([("p", [(4, ["a"]), (2, ["b", "c"])], "o", [("c", 1), ("x", 2), ("a", 3), ("b", 4)]), ("q", [(0, [])], None, [])], kind)
+    got = {(r.path, r.chunk_index): (r.overview, [s.name for s in r.symbols]) for r in chunks.assign(d).collect()}
+    assert got == {("p", 4): ("o", ["a", "x"]), ("p", 2): ("", ["c", "b"]), ("q", 0): ("", [])}
+
+
+def test_overview_sorts_as_people_do(spark):
+    d = spark.createDataFrame([(p, "o") for p in ("s/Zoo.ts", "s/apple.ts", "s/Ähre.ts", "s/bean.ts")], "path string, overview string")
+    assert [r.line.split("`")[1] for r in index.overview_lines(d).orderBy("place").collect()] == ["s/Ähre.ts", "s/apple.ts", "s/bean.ts", "s/Zoo.ts"]
+
+
+def test_levels_have_no_bound_and_mark_cycles(spark):
     names = [f"n{i}" for i in range(14)]
     f = spark.createDataFrame([(p,) for p in [*names, "x", "y", "z", "s", "alone"]], "path string")
     chain = [(a, b) for a, b in zip(names, names[1:])] + [("n0", "n13"), ("n0", "missing"), ("alone", "missing")]
     e = spark.createDataFrame([*chain, ("x", "y"), ("y", "x"), ("z", "x"), ("x", "n12"), ("s", "s")], "src string, dst string")
     want = {f"n{i}": 13 - i for i in range(14)} | {"x": None, "y": None, "z": None, "s": None, "alone": 0}
-    rows = graph.depths(f, e).collect()
+    rows = graph.levels(f, e).collect()
     assert len(rows) == len(want) and {r.path: r.level for r in rows} == want
 
 
@@ -137,11 +156,14 @@ def test_markdown(spark, tmp_path):
     head = lambda p: f"# {p}\n**Language:** typescript  \n**Analyzed:** T  \n\n"
     assert got["x.ts"] == head("x.ts") + "## Overview\nDoes x.\n\n## Dependencies\n- `u.ts`\n\n## Symbols\n\n### `f` *(function)*\n**Line:** 3  \n**Purpose:** p  \n\n**Behavior:** b\n\n**Parameters:** x: int  \n**Used by:** `a.ts`, `b.ts`  \n\n### `g` *(class)*\n**Purpose:**   \n\n**Behavior:** \n\n**Returns:** r  \n"
     assert got["t.ts"] == head("t.ts") + "> **Trivial file** — no significant logic to analyze." and got["e.ts"].startswith(head("e.ts") + "> **Analysis failed**") and got["e.ts"].count("\n> ") == 3
-    sinks.write_markdown(d, f"{tmp_path}/m")
-    assert spark.read.json(f"{tmp_path}/m").count() == 3
+    for _ in range(2):
+        sinks.write_markdown(d, f"{tmp_path}/m")
+    assert (tmp_path / "m/context/x.ts.md").read_text() == got["x.ts"] and len(list((tmp_path / "m/context").iterdir())) == 3
     sinks.publish({"contexts": d}, f"{tmp_path}/s", "v1")
     sinks.publish({"contexts": d.limit(1)}, f"{tmp_path}/s", "v2")
-    assert sinks.current(spark, f"{tmp_path}/s", "contexts").count() == 1
+    assert sinks.current(spark, f"{tmp_path}/s", "contexts").count() == 1 and sinks.latest_version(spark, f"{tmp_path}/s", but="v2") == "v1"
+    with pytest.raises(LookupError):
+        sinks.current(spark, f"{tmp_path}/none", "contexts")
     assert '"path" : "x.ts"' in sinks.json_rows(d.select("path").limit(1)).first().value
 
 

@@ -1,6 +1,12 @@
 import pytest
 
-from loomdex.functions.parsing import SAMPLES, parse, parse_files
+from loomdex.functions.parsing import parse, parse_files
+
+FILES = [
+    ("a.ts", "import z from '../far/away';\nexport { q } from './near';\nlet p = require('path');\n"),
+    ("f.vue", "<template>\n  <p/>\n</template>\n<script lang=\"ts\">\nfunction shown() {}\n</script>\n"),
+    ("g.txt", "function hidden() {}"),
+]
 
 
 def kinds(grammar, text):
@@ -61,6 +67,6 @@ def test_signature_is_short():
 
 
 def test_files(spark):
-    rows = {r.path: r.parsed for r in parse_files(spark.createDataFrame([*SAMPLES, ("n.ts", None), ("v.vue", "<p/>")], "path string, content string")).collect()}
-    assert [(s.name, s.line) for s in rows["f.vue"].symbols] == [("foo", 5)] and rows["g.txt"].symbols == [] and rows["n.ts"].symbols == [] and rows["v.vue"].symbols == []
-    assert rows["a.ts"].specs == ["../utils/helpers", "./types", "fs"]
+    rows = {r.path: r.parsed for r in parse_files(spark.createDataFrame([*FILES, ("n.ts", None), ("v.vue", "<p/>")], "path string, content string")).collect()}
+    assert [(s.name, s.line) for s in rows["f.vue"].symbols] == [("shown", 5)] and rows["g.txt"].symbols == [] and rows["n.ts"].symbols == [] and rows["v.vue"].symbols == []
+    assert rows["a.ts"].specs == ["../far/away", "./near", "path"]

@@ -2,8 +2,9 @@ import time
 
 import pytest
 
-from loomdex.operators import index, providers
+from loomdex.operators import index, providers, sinks
 from loomdex.plans import workflow
+from loomdex.sources.files import Settings
 from loomdex.streaming import events
 
 TREE = {
@@ -60,6 +61,82 @@ def test_incremental(spark):
     assert "src/new.ts" not in state and "app/m.py" not in state and state["src/u.ts"] == {r.path: r.content_hash for r in branch.collect()}["src/u.ts"]
 
 
+class Counting(providers.Stub):
+    """Fails for prompts with a marker, and names itself in each overview."""
+
+    def complete(self, messages, max_tokens=1):
+        if "BROKEN" in messages[-1].content:
+            raise OSError("bad key")
+        return super().complete(messages)
+
+
+def test_only_new_chunks_are_asked_about(spark):
+    settings = Settings(provider="local")  # 2,000 characters a group
+    body = lambda n: f"export function part{n}() {{\n" + f"  work({n});\n" * 60 + "}\n"
+    tree = {"src/big.ts": "".join(body(n) for n in range(8))}
+    first = workflow.full_run(files(spark, tree), settings=settings)
+    before, n = first["chunks"].cache(), first["usage"].first()
+    assert n.request_count > 2 and (n.files_analyzed, n.files_from_cache, n.errors, n.provider) == (1, 0, 0, "local") and before.count() == 8
+    assert first["contexts"].first().overview == "Overview of src/big.ts."
+    edited = {"src/big.ts": tree["src/big.ts"].replace("work(5)", "play(5)")}
+    out = workflow.incremental_run(files(spark, edited), first["branch"].cache(), first["contexts"].cache(), settings, previous=before, head="abc")
+    assert out["usage"].first().request_count == 1 and out["chunks"].count() == 8 and out["state"].first().head == "abc"
+    assert {r.chunk_index for r in out["chunks"].where("NOT reused").collect()} == {5}
+    c = out["contexts"].first()
+    assert sorted(s.name for s in c.symbols) == sorted(f"part{n}" for n in range(8)) and c.overview == "Overview of src/big.ts."
+    broken = {"src/big.ts": tree["src/big.ts"].replace("work(5)", "BROKEN(5)")}
+    out = workflow.incremental_run(files(spark, broken), first["branch"], first["contexts"], settings, make=Counting, previous=before)
+    assert out["usage"].first().errors == 1 and {r.chunk_index for r in out["chunks"].collect()} == {0, 1, 2, 3, 4, 6, 7}
+
+
+def test_history_grows_by_a_row_a_run(spark, tmp_path):
+    for k in (1, 2):
+        workflow.full_run(files(spark, TREE), history=f"{tmp_path}/runs")
+        assert spark.read.parquet(f"{tmp_path}/runs").count() == k
+
+
+def test_changes_narrow_the_work(spark):
+    first = workflow.full_run(files(spark, TREE))
+    tree = {p: c + "\n// more" for p, c in TREE.items()}
+    changed = spark.createDataFrame([("src/a.ts", True, False)], "path string, needs_analysis boolean, deleted boolean")
+    out = workflow.incremental_run(files(spark, tree), first["branch"].cache(), first["contexts"].cache(), analyzed_at="later", changed=changed)
+    assert {r.path for r in out["contexts"].where("analyzed_at = 'later'").collect()} == {"src/a.ts"}
+
+
+def test_stream_keeps_the_index(spark, tmp_path):
+    root, now = f"{tmp_path}/index", dict(TREE)
+    first = workflow.full_run(files(spark, TREE))
+    sinks.publish({n: first[n] for n in ("branch", "contexts", "chunks")}, root, "first")
+    now["src/u.ts"] = TREE["src/u.ts"].replace("Store", "Shelf")
+    del now["app/m.py"]
+    spark.createDataFrame([("src/u.ts",), ("app/m.py",)], "path string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("path string").parquet(f"{tmp_path}/in")
+    q = workflow.keep_indexed(stream, lambda: files(spark, now), root, f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    assert q.exception() is None
+    c = {r.path: r for r in sinks.current(spark, root, "contexts").collect()}
+    assert set(c) == set(now) and [s.name for s in c["src/u.ts"].symbols] == ["helper", "Shelf", "get"]
+    assert {r.path for r in sinks.current(spark, root, "branch").collect()} == set(now)
+
+
+def test_restart_on_new_settings(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.ts").write_text("let a = 1")
+    (tmp_path / "src/no.txt").write_text("no")
+
+    def build(settings):
+        s = events.file_changes(spark, f"{tmp_path}/src", settings)
+        return s.writeStream.format("memory").queryName("seen").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True)
+
+    r = events.Restartable(build)
+    assert r.apply(Settings()) and r.query is None and not r.apply(Settings())
+    assert r.apply(Settings(auto_update=True)) and r.query is not None
+    r.query.awaitTermination(100)
+    assert [(x.path, x.content) for x in spark.table("seen").collect()] == [("a.ts", "let a = 1")]
+    r.stop()
+    assert r.query is None
+
+
 def test_batches_and_fallback(spark):
     class Forgetful:
         """Answers batches by base name for one file, and not at all for those with a marker."""
@@ -72,13 +149,13 @@ def test_batches_and_fallback(spark):
 
     f = files(spark, TREE)
     symbols, edges = workflow.parse(f)
-    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges).collect()}
+    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges)["contexts"].collect()}
     assert set(c) == set(TREE) and c["src/u.ts"].overview == "Overview of src/u.ts." and c["src/u.ts"].chunk_count == 1 and c["src/empty.ts"].chunk_count == 0
-    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges, make=Forgetful).collect()}
+    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges, make=Forgetful)["contexts"].collect()}
     assert c["src/u.ts"].overview == "By name." and [s.name for s in c["src/u.ts"].symbols] == ["q"] and c["src/a.ts"].overview == ""
     f = files(spark, TREE | {"src/secret.ts": "// secret\n" + TREE["src/u.ts"]})
     symbols, edges = workflow.parse(f)
-    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges, make=Forgetful).collect()}
+    c = {r.path: r for r in workflow.analyze_batches(f, symbols, edges, make=Forgetful)["contexts"].collect()}
     assert c["src/u.ts"].overview == "Overview of src/u.ts." and c["src/u.ts"].chunk_count == 3
 
 
