@@ -56,7 +56,9 @@ class BackwardIndex:
         text[is_word] = count + ids
         order, lengths = self._suffixes(text)
         self.lcp = np.r_[lengths, -1] if n else np.zeros(1, np.int64)
-        self.left, self.right = self._shorter(self.lcp), len(self.lcp) - 1 - self._shorter(self.lcp[::-1])[::-1]
+        self.least = [self.lcp.astype(np.int32)]
+        while (half := 1 << len(self.least) - 1) < len(self.least[-1]):
+            self.least.append(np.minimum(self.least[-1][:-half], self.least[-1][half:]))
         owner = np.repeat(np.arange(count), sizes + 1)
         self.weight = np.r_[0, np.cumsum(weights[owner][order])] if n else np.zeros(1, np.int64)
         shown = np.where(is_word, text - count + 1, 0)
@@ -91,16 +93,24 @@ class BackwardIndex:
             a, b, same = a + jump, b + jump, same + jump
         return order, np.r_[-1, same][:n]
 
-    @staticmethod
-    def _shorter(lcp: np.ndarray) -> np.ndarray:
-        """For each place the nearest earlier one with a smaller value, else 0. Candidates skip what others have skipped."""
-        at = np.arange(len(lcp)) - 1
-        at[:1] = 0
-        while True:
-            wrong = np.flatnonzero((at > 0) & (lcp[at] >= lcp))
-            if not len(wrong):
-                return at
-            at[wrong] = at[at[wrong]]
+    def _before(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The last row before each of ``at`` whose lcp is less than ``size``, by halving steps over minima of blocks."""
+        at = at.copy()
+        for k in reversed(range(len(self.least))):
+            first = at - (1 << k)
+            ok = np.flatnonzero(first >= 0)
+            ok = ok[self.least[k][first[ok]] >= size[ok]]
+            at[ok] = first[ok]
+        return at - 1
+
+    def _behind(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The first row after each of ``at`` whose lcp is less than ``size``."""
+        at = at + 1
+        for k in reversed(range(len(self.least))):
+            ok = np.flatnonzero(at + (1 << k) <= self.n + 1)
+            ok = ok[self.least[k][at[ok]] >= size[ok]]
+            at[ok] += 1 << k
+        return at
 
     def statistics(self, words: np.ndarray, sizes: np.ndarray, least: int = 2) -> np.ndarray:
         """Matching statistics: for each position of the given sequences, how many words from here occur with a weight of ``least``.
@@ -130,11 +140,13 @@ class BackwardIndex:
             shrunk = lost[size[lost] > 0]
             lo, hi = low[shrunk], high[shrunk]
             parent = np.maximum(self.lcp[lo], self.lcp[hi])
-            low[shrunk] = np.where(self.lcp[lo] == parent, self.left[lo], lo)
-            high[shrunk] = np.where(self.lcp[hi] == parent, self.right[hi], hi)
+            wide = parent <= 0
+            low[shrunk[wide]], high[shrunk[wide]] = 0, self.n
             size[shrunk] = np.maximum(parent, 0)
-            root = shrunk[parent <= 0]
-            low[root], high[root] = 0, self.n
+            if not wide.all():
+                for rows, edge, step in ((low, lo, self._before), (high, hi, self._behind)):
+                    go = np.flatnonzero((self.lcp[edge] == parent) & ~wide)
+                    rows[shrunk[go]] = step(edge[go], parent[go])
             for done in (won, none):
                 out[at[done]] = size[done]
                 at[done] -= 1

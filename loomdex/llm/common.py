@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from loomdex.operators.storage import checkpoint_dir
+
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` follows the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(where)
-        return where.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    """The folder named by spark.checkpoint.dir."""
+    return checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
