@@ -16,6 +16,8 @@ from loomdex.llm.common import binary_column, slices
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 256
 MAX_LOSS = 4096
+#: Limits of instruction data: its conversations have a thousand tokens or so, of which four fifths bear loss.
+CONVERSATION_LIMITS = (4096, 4, 3328)
 OPEN_BINS = 32
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -264,6 +266,30 @@ def pack_texts(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text",
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+def conversation_examples(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(example_id, tokens, loss_tokens) of conversations (conv_id, role, text): each turn is its text's ids and an end id;
+    those of the assistant bear loss. Turns are counted where they are, so a long conversation never meets in one value.
+
+    Null or empty texts are the end id alone; null roles bear no loss; null conv_id is one conversation; an empty table gives no rows.
+    """
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        import public_tokenizers
+
+        ids_of = word_ids(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer)).ids
+        for b in slices(batches, 512):
+            n = [len(x) // 4 + 1 for x in ids_of([x or b"" for x in binary_column(b, "text")])]
+            loss = [k if role == "assistant" else 0 for k, role in zip(n, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], ["example_id", "n", "loss"])
+
+    c = conversations.select(F.col("conv_id").alias("example_id"), "role", "text")
+    turns = c.mapInArrow(run, f"example_id {c.schema['example_id'].dataType.simpleString()}, n long, loss long")
+    return turns.groupBy("example_id").agg(F.sum("n").alias("tokens"), F.sum("loss").alias("loss_tokens"))
+
+
 def pack_examples(df: DataFrame, limits=(MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)) -> DataFrame:
     """Instruction data: rows (example_id, tokens, loss_tokens) stay whole; adds sequence_id and offset.
 

@@ -34,6 +34,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_table(spark, sf_dir, "documents"))
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 on instruction data: whole conversations under limits on tokens, segments and loss-bearing tokens."""
+    examples = packing.conversation_examples(_table(spark, sf_dir, "conversations"))
+    return packing.pack_examples(examples, packing.CONVERSATION_LIMITS)
+
+
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_media": op3_media,
     "op4_packing": op4_packing,
+    "pack_conversations": pack_conversations,
     "op5_simhash": op5_simhash,
     "op6_linededup": op6_linededup,
     "op7_minhash": op7_minhash,

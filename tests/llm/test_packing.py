@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -100,6 +100,44 @@ def test_examples(spark):
     assert len(rows) == 7 and all(rows[i].sequence_id is None for i in (1, 2, 3, 4)) and rows[0].sequence_id == rows[6].sequence_id
 
 
+def test_conversations_meet_all_three_limits(spark):
+    from loomdex.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.1"
+    t = tokenizer()
+    t.encode_special_tokens = True
+    want = defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{d}/conversations.parquet").collect():
+        n = len(t.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want[r.conv_id][0] += n
+        want[r.conv_id][1] += n if r.role == "assistant" else 0
+    rows = QUERIES["pack_conversations"](spark, d).collect()
+    assert {r.example_id: [r.tokens, r.loss_tokens] for r in rows} == dict(want)
+    by, limits = defaultdict(list), packing.CONVERSATION_LIMITS
+    for r in rows:
+        over = r.tokens > limits[0] or r.loss_tokens > limits[2]
+        assert (r.sequence_id is None) == over
+        if not over:
+            by[r.sequence_id].append(r)
+    bound = Counter()
+    for members in by.values():
+        members.sort(key=lambda r: r.offset)
+        assert [r.offset for r in members] == np.cumsum([0, *(r.tokens for r in members)])[:-1].tolist()
+        used = (sum(r.tokens for r in members), len(members), sum(r.loss_tokens for r in members))
+        assert all(u <= m for u, m in zip(used, limits, strict=True))
+        filled = [u / m for u, m in zip(used, limits, strict=True)]
+        bound[filled.index(max(filled))] += 1
+    least = max(sum(r.tokens for m in by.values() for r in m) / limits[0], sum(map(len, by.values())) / limits[1], sum(r.loss_tokens for m in by.values() for r in m) / limits[2])
+    assert set(bound) == {0, 1, 2} and len(by) <= 1.25 * least + 8
+
+
+def test_awkward_conversations(spark):
+    df = spark.createDataFrame([(1, 0, "assistant", None, 9), (1, 1, "user", "", 9), (None, 0, None, "a b", 9), (2, 0, "assistant", "long " * 60_000, 9), (3, 0, "user", "x", 9), (3, 0, "user", "x", 9)], "conv_id long, turn int, role string, text string, n int")
+    rows = {r.example_id: r for r in packing.pack_examples(packing.conversation_examples(df)).collect()}
+    assert (rows[1].tokens, rows[1].loss_tokens) == (2, 1) and rows[None].loss_tokens == 0 and rows[2].sequence_id is None and rows[3].tokens == 4
+    assert packing.conversation_examples(df.limit(0)).count() == 0
+
+
 def test_awkward(spark):
     df = awkward(spark)
     rows = packing.pack_texts(df).collect()
