@@ -71,10 +71,11 @@ def import_edges(specs: DataFrame, files: DataFrame) -> DataFrame:
     return ordered.select("src", F.posexplode(taken).alias("pos", "dst"))
 
 
-def reverse_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, imported_by): importers in scan order. Edges are distinct, so a hub's list is as long as its importers are many."""
-    e = edges.join(files.select(F.col("path").alias("src"), "seq"), "src").groupBy(F.col("dst").alias("path"))
-    return e.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "src"))), lambda x: x["src"]).alias("imported_by"))
+def reverse_edges(edges: DataFrame, files: DataFrame, per_row: int | None = None) -> DataFrame:
+    """(path, imported_by): importers in scan order. With ``per_row`` a hub has them in several rows, one a ``block`` of so many scan numbers."""
+    e = edges.join(files.select(F.col("path").alias("src"), "seq"), "src")
+    by = [F.col("dst").alias("path")] + ([] if per_row is None else [F.floor(F.col("seq") / per_row).alias("block")])
+    return e.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "src"))), lambda x: x["src"]).alias("imported_by"))
 
 
 def first_importers(edges: DataFrame, most: int = 10) -> DataFrame:

@@ -35,8 +35,8 @@ def keyword_index(rows: DataFrame, text: str, ref: str, block: Column | None = N
     task gathers them all; without one there is a single block. ``keyword_refs`` is the long form.
     """
     b = (F.lit(0) if block is None else block).alias("block")
-    words = T.exploded_words(rows, text, F.col(ref).alias("ref"), b).distinct()
-    return words.groupBy("word", "block").agg(F.count(F.lit(1)).alias("n_refs"), F.array_sort(F.collect_list("ref")).alias("refs"))
+    words = T.exploded_words(rows, text, F.col(ref).alias("ref"), b)
+    return words.groupBy("word", "block").agg(F.array_sort(F.collect_set("ref")).alias("refs")).select("word", "block", F.size("refs").cast("long").alias("n_refs"), "refs")
 
 
 def symbol_text() -> Column:
@@ -44,10 +44,14 @@ def symbol_text() -> Column:
     return F.concat_ws(" ", "name", "purpose", "behavior", F.coalesce("limitations", F.lit("")))
 
 
-def symbol_index(symbols: DataFrame) -> DataFrame:
-    """(name, entries): all symbols of a name in scan order; symbols (name, kind, file, line, purpose, behavior, limitations, seq, pos)."""
+def symbol_index(symbols: DataFrame, block: Column | None = None) -> DataFrame:
+    """(name, entries): all symbols of a name in scan order; symbols (name, kind, file, line, purpose, behavior, limitations, seq, pos).
+
+    A name with very many symbols has them in several rows, one a ``block`` (then a column), so that no task gathers them all.
+    """
     entry = F.struct("seq", "pos", "kind", "file", "line", "purpose", "behavior", "limitations")
-    return symbols.groupBy("name").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    by = ["name"] if block is None else ["name", block.alias("block")]
+    return symbols.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
 def file_index(contexts: DataFrame, importers: DataFrame) -> DataFrame:
@@ -59,8 +63,10 @@ def index_totals(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return files.agg(F.count_distinct("path").alias("total_files")).select("total_files", symbols.agg(F.count(F.lit(1)).alias("n")).scalar().alias("total_symbols"))
 
 
-def files_by_directory(files: DataFrame) -> DataFrame:
-    return files.groupBy(T.dirname(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths"))
+def files_by_directory(files: DataFrame, block: Column | None = None) -> DataFrame:
+    """(dir, n_files, paths), paths sorted; a very large folder has several rows, one a ``block`` (then a column)."""
+    by = [T.dirname(F.col("path")).alias("dir")] + ([] if block is None else [block.alias("block")])
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def key_symbols(symbols: DataFrame, most: int = KEY_SYMBOLS) -> DataFrame:

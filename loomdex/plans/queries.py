@@ -85,9 +85,9 @@ def files_by_language(spark, d):
     return f.groupBy("language", "display").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("bytes"))
 
 
-@query(f"with {FILES} select source || '/' || lang as dir, count(*) as n_files, string_agg(path, ',' order by path) as paths from f group by 1")
+@query(f"with {FILES} select source || '/' || lang as dir, seq // {REFS_BLOCK} as block, count(*) as n_files, string_agg(path, ',' order by path) as paths from f group by 1, 2")
 def files_by_directory(spark, d):
-    return index.files_by_directory(corpus.files(spark, d)).withColumn("paths", F.array_join("paths", ","))
+    return index.files_by_directory(corpus.files(spark, d), F.floor(F.col("seq") / REFS_BLOCK)).withColumn("paths", F.array_join("paths", ","))
 
 
 @query(f"with {FILES}, {LINES}, {SYMBOLS} select path, size_bytes from f where path not in (select path from s) and length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) < 50")
@@ -201,10 +201,10 @@ def import_edges(spark, d):
     return corpus.edges(spark, d)
 
 
-@query(f"with {FILES}, {EDGES} select dst as path, string_agg(src, ',' order by f.seq) as imported_by, count(*) as n from e join f on f.path = e.src group by dst")
+@query(f"with {FILES}, {EDGES} select dst as path, f.seq // {REFS_BLOCK} as block, string_agg(src, ',' order by f.seq) as imported_by, count(*) as n from e join f on f.path = e.src group by 1, 2")
 def reverse_edges(spark, d):
-    r = graph.reverse_edges(corpus.edges(spark, d), corpus.files(spark, d).select("path", "seq"))
-    return r.select("path", F.array_join("imported_by", ",").alias("imported_by"), F.size("imported_by").cast("long").alias("n"))
+    r = graph.reverse_edges(corpus.edges(spark, d), corpus.files(spark, d).select("path", "seq"), REFS_BLOCK)
+    return r.select("path", "block", F.array_join("imported_by", ",").alias("imported_by"), F.size("imported_by").cast("long").alias("n"))
 
 
 @query(f"with {FILES}, {LINES}, {SYMBOLS}, {EDGES} select (select count(*) from f) as total_files, (select count(*) from s) as total_symbols, (select count(*) from e) as total_edges")
@@ -318,12 +318,12 @@ def key_symbols(spark, d):
     return index.key_symbols(corpus.symbols(corpus.files(spark, d))).select("name", "kind", "path", "line")
 
 
-@query(f"with {FILES}, {LINES}, {SYMBOLS} select name, count(*) as n, string_agg(path || ':' || line, ',' order by seq, pos) as places from s group by name")
+@query(f"with {FILES}, {LINES}, {SYMBOLS} select name, seq // {REFS_BLOCK} as block, count(*) as n, string_agg(path || ':' || line, ',' order by seq, pos) as places from s group by 1, 2")
 def symbol_index(spark, d):
     f = corpus.texts(spark, d)
     s = corpus.symbols(f).select("name", "kind", F.col("path").alias("file"), "line", F.lit("").alias("purpose"), F.lit("").alias("behavior"), F.lit(None).cast("string").alias("limitations"), "seq", "pos")
     places = F.array_join(F.transform("entries", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"))), ",")
-    return index.symbol_index(s).select("name", F.size("entries").cast("long").alias("n"), places.alias("places"))
+    return index.symbol_index(s, F.floor(F.col("seq") / REFS_BLOCK)).select("name", "block", F.size("entries").cast("long").alias("n"), places.alias("places"))
 
 
 @query(f"with {FILES}, {LINES}, {SYMBOLS} select (select count(distinct path) from f) as total_files, (select count(*) from s) as total_symbols")

@@ -167,6 +167,17 @@ def test_markdown(spark, tmp_path):
     assert '"path" : "x.ts"' in sinks.json_rows(d.select("path").limit(1)).first().value
 
 
+def test_in_window_over_blocks(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, "ab"[i % 2], 1_700_000_000 + r.randrange(0, 900)) for i in range(400)]
+    d = spark.createDataFrame(rows, "i int, key string, s long").selectExpr("i", "key", "timestamp_seconds(s) AS ts")
+    want = {i: sum(1 for _, l, u in rows if l == k and t - 60 < u <= t) for i, k, t in rows}
+    for blocks in (1, 3, 60):
+        assert {x.i: x.in_window for x in usage.in_window(d, "key", block_windows=blocks).collect()} == want
+
+
 def test_usage(spark):
     c = spark.createDataFrame([("p", 100, 50, None, 500), ("p", None, None, 200, 1), ("p", 80, 40, 120, 1), ("p", None, 5, 9, 1)], "provider string, input_tokens long, output_tokens long, tokens_used long, duration_ms long")
     r = usage.tally_calls(c, "provider").first()
