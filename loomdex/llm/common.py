@@ -86,6 +86,17 @@ def bit_of(bits: Column, at: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
+def prefix_counts(counts: DataFrame, *names: str) -> DataFrame:
+    """Rows (names, n), distinct in their names, plus ``before``: the sum of n of all rows before in their order, without a single-task sort."""
+    parts = shuffle_parts(counts.sparkSession)
+    d = cut(counts.select(*names, "n").repartitionByRange(parts, *names).select(*names, "n", F.spark_partition_id().alias("part")))
+    sums = d.groupBy("part").agg(F.sum("n").alias("s"))
+    first = sums.select("part", (F.sum("s").over(W.orderBy("part")) - F.col("s")).alias("first"))
+    inside = W.partitionBy("part").orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
+    d = d.select(*names, "n", "part", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("inside"))
+    return d.join(F.broadcast(first), "part").select(*names, "n", (F.col("first") + F.col("inside")).alias("before"))  # at most one row a shuffle partition
+
+
 def dense_ranks(keys: DataFrame, *names: str) -> DataFrame:
     """Distinct rows ``names`` plus ``rank``, from 0 in their order, without a single-task sort.
 

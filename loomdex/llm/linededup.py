@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loomdex.llm.common import bit_of, cut, dense_ranks
+from loomdex.llm.common import bit_of, cut, dense_ranks, prefix_counts
 
 #: A repeated run counts if it has so many lines, or one line of so many characters.
 MIN_LINES = 3
@@ -60,6 +62,79 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     return out.union(covered).distinct()
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """(k, th, pos, line) of lines that occur twice, line being the rank of the line's id."""
+    lines = docs.select(*_key(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).dropDuplicates(["k", "th", "pos"])
+    t = cut(lines.select("k", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")))
+    twice = t.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return t.join(dense_ranks(twice, "h1", "h2"), ["h1", "h2"]).select("k", "th", "pos", F.col("rank").alias("line"))
+
+
+def suffix_array(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The suffix array over line ids: (k, th, pos, rank, rem) in its order, and the classes of each round.
+
+    Suffixes begin at lines that occur twice and end before the first that does not, ``rem`` lines
+    on. A round doubles the length by which suffixes are told apart: only classes of more than one
+    take part, ranked within by the rank that many lines ahead, so ranks never change once they
+    are alone; classes that end together are settled too. Rounds go on until nothing is open. Documents
+    without an open suffix leave the rounds. Class j of a suffix, (k, th, pos, rank), tells which
+    others begin with the same 2^j lines.
+    """
+    lines = _lines(docs)
+    island = W.partitionBy("k", "th", F.col("pos") - F.col("nth"))
+    r = lines.withColumn("nth", F.row_number().over(W.partitionBy("k", "th").orderBy("pos")))
+    r = cut(r.withColumn("rem", (F.max("pos").over(island) - F.col("pos") + 1)).drop("nth"))
+    first = prefix_counts(r.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "line").select("line", F.col("before").alias("rank"))
+    r = cut(r.join(first, "line").select("k", "th", "pos", "rem", "rank", F.lit(True).alias("open")))
+    classes, done, step = [r.select("k", "th", "pos", "rank")], [], 1
+    while not r.where("open").isEmpty():
+        ahead = F.max("rank").over(W.partitionBy("k", "th").orderBy("pos").rangeBetween(step, step))
+        a = cut(r.withColumn("ahead", F.when(F.col("open"), F.when(F.col("rem") > step, ahead).otherwise(-1))))
+        counts = a.where("open").groupBy("rank", "ahead").agg(F.count(F.lit(1)).alias("n"))
+        before = cut(prefix_counts(counts, "rank", "ahead"))
+        base = before.groupBy("rank").agg(F.min("before").alias("base"))
+        new = cut(before.join(base, "rank").select("rank", "ahead", "n", (F.col("rank") + F.col("before") - F.col("base")).alias("new")))
+        opened = a.where("open").join(new, ["rank", "ahead"]).select("k", "th", "pos", "rem", F.col("new").alias("rank"), ((F.col("n") > 1) & (F.col("ahead") >= 0)).alias("open"), (F.col("n") > 1).alias("shared"))
+        both = cut(opened.union(a.where("NOT open").select("k", "th", "pos", "rem", "rank", "open", F.lit(False))))
+        classes.append(both.where("shared").select("k", "th", "pos", "rank"))
+        live = both.where("open").select("k", "th").distinct()
+        done.append(both.join(live, ["k", "th"], "left_anti").select("k", "th", "pos", "rank", "rem"))
+        r = cut(both.join(live, ["k", "th"], "left_semi").drop("shared"))
+        step *= 2
+    done.append(r.select("k", "th", "pos", "rank", "rem"))
+    return cut(functools.reduce(DataFrame.union, done)), classes
+
+
+def maximal_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_id, start, length): the maximal runs of at least ``min_lines`` lines that occur twice or more, lines from 0.
+
+    A run begins at a line, is as long as the longest common prefix with any other suffix, and is not
+    part of the one that begins a line before. Prefixes of neighbours in the suffix array are measured
+    by the classes of the rounds, longest first; a suffix's longest is that with a neighbour.
+    Rows equal in doc_id and text are one document; null doc_id is kept; null text has no lines; an
+    empty table gives no rows.
+    """
+    sa, classes = suffix_array(docs)
+    order = ["rank", "k", "th", "pos"]
+    rows = cut(prefix_counts(sa.select(*order, "rem", F.lit(1).alias("n")), *order).select(*order, "before").join(sa.select("k", "th", "pos", "rem"), ["k", "th", "pos"]))
+    names = ("k", "th", "pos", "rem")
+    one = rows.select("before", *(F.col(c).alias(f"{c}1") for c in names))
+    two = rows.select((F.col("before") - 1).alias("before"), *(F.col(c).alias(f"{c}2") for c in names))
+    pairs = one.join(two, "before").withColumn("same", F.lit(0))
+    for j in reversed(range(len(classes))):
+        side = lambda i: classes[j].select(F.col("k").alias(f"k{i}"), F.col("th").alias(f"th{i}"), F.col("pos").alias(f"at{i}"), F.col("rank").alias(f"r{i}"))  # noqa: B023, E731
+        for i in (1, 2):
+            pairs = pairs.withColumn(f"at{i}", F.col(f"pos{i}") + F.col("same")).join(side(i), [f"k{i}", f"th{i}", f"at{i}"], "left")
+        pairs = cut(pairs.withColumn("same", F.col("same") + F.when(F.col("r1") == F.col("r2"), 1 << j).otherwise(0)).drop("at1", "at2", "r1", "r2"))
+    same = F.least("same", "rem1", "rem2")
+    ends = pairs.select(F.explode(F.array(*(F.struct(*(F.col(f"{c}{i}").alias(c) for c in ("k", "th", "pos"))) for i in (1, 2)))).alias("s"), same.alias("length"))
+    longest = ends.groupBy("s").agg(F.max("length").alias("length")).select("s.*", "length").where(F.col("length") >= min_lines)
+    above = F.max("length").over(W.partitionBy("k", "th").orderBy("pos").rangeBetween(-1, -1))
+    runs = longest.withColumn("above", above).where(F.coalesce(F.col("above") != F.col("length") + 1, F.lit(True)))
+    ids = docs.select("doc_id", *_key()).distinct()
+    return runs.join(ids, ["k", "th"]).select("doc_id", F.col("pos").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
+
+
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs``, text without later copies of repeated line runs, plus __n_lines and __n_removed.
 

@@ -45,6 +45,11 @@ def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6's suffix array in full: the maximal repeated runs of lines."""
+    return linededup.maximal_runs(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_likeness(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pack_conversations": pack_conversations,
     "op5_simhash": op5_simhash,
     "op6_linededup": op6_linededup,
+    "line_runs": line_runs,
     "op7_minhash": op7_minhash,
     "op8_urlfilter": op8_urlfilter,
     "op9_lm": op9_lm,

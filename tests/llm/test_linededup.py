@@ -51,3 +51,35 @@ def test_awkward(spark):
     assert by[None][0].text.startswith("the same") and by[1][0].text == "" and [x.text for x in by[2]] == ["", ""]  # null comes first
     assert by[3][0].text is None and by[3][0]["__n_lines"] == 0 and by[4][0].text == "" and by[4][0]["__n_lines"] == 1
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def plain_runs(docs, least=3):
+    """The maximal repeated runs, each suffix held against all others."""
+    lines = {(i, t): t.split("\n") for i, t in docs if t is not None}
+    at = [(d, p) for d, ls in lines.items() for p in range(len(ls))]
+
+    def same(x, y):
+        a, b = lines[x[0]][x[1] :], lines[y[0]][y[1] :]
+        return next((n for n, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+
+    longest = {x: max((same(x, y) for y in at if y != x), default=0) for x in at}
+    return sorted((d[0], p, n) for (d, p), n in longest.items() if n >= least and longest.get((d, p - 1), 0) != n + 1)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_maximal_runs_against_all_pairs(spark, seed):
+    r = random.Random(seed)
+    line = lambda: r.choice("abcdefgh") if r.random() < 0.6 else f"only {r.random()}"
+    long = [f"shared {i}" for i in range(40)]
+    docs = [(i, "\n".join(line() for _ in range(r.randint(1, 12)))) for i in range(25)]
+    docs += [(100 + i, "\n".join([line(), *long[r.randrange(10) : r.randint(15, 40)], line()])) for i in range(8)]
+    docs += [(200, "x\nx\nx\nx\nx\nx\nx"), (201, "\n".join(long)), (202, "\n".join(long)), (203, None), (204, "")]
+    got = linededup.maximal_runs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = plain_runs(docs)
+    assert sorted((x.doc_id, x.start, x.length) for x in got) == want and max(n for _, _, n in want) > 20
+
+
+def test_maximal_runs_of_awkward_rows(spark):
+    df = awkward(spark)
+    got = {(x.doc_id, x.start, x.length) for x in linededup.maximal_runs(df).collect()}
+    assert got == {(1, 0, 3), (2, 0, 3), (None, 0, 3)} and linededup.maximal_runs(df.limit(0)).count() == 0
