@@ -8,20 +8,33 @@ import uuid
 
 import numpy as np
 
-_STEPS = [(np.uint64(w), np.uint64((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
+def _every_byte(x: int) -> np.uint64:
+    return np.uint64(x * 0x0101010101010101)
+
+
+def _places() -> np.ndarray:
+    """For byte b and rank r, at b * 8 + r: the place of b's r-th set bit."""
+    out = np.zeros((256, 8), np.uint8)
+    for b in range(256):
+        set_bits = [i for i in range(8) if b >> i & 1]
+        out[b, : len(set_bits)] = set_bits
+    return out.ravel()
+
+
+_PLACES = _places()
 
 
 def select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Position of the r-th (from 0) set bit of each word."""
-    at = np.zeros(len(word), np.int64)
-    for width, mask in _STEPS:
-        low = word & mask
-        c = np.bitwise_count(low)
-        go = r >= c
-        r = r - c * go
-        at += go * np.int64(width)
-        word = np.where(go, word >> width, low)
-    return at
+    """Position of the r-th (from 0) set bit of each word: running counts of all bytes at once, then the byte's own table."""
+    word, r = np.asarray(word, np.uint64), np.asarray(r).astype(np.uint64)
+    s = word - ((word >> np.uint64(1)) & _every_byte(0x55))
+    s = (s & _every_byte(0x33)) + ((s >> np.uint64(2)) & _every_byte(0x33))
+    s = ((s + (s >> np.uint64(4))) & _every_byte(0x0F)) * _every_byte(1)  # byte k: set bits up to and with byte k
+    passed = ((r * _every_byte(1)) | _every_byte(0x80)) - s  # a byte's top bit stays where r is at least its count
+    shift = np.bitwise_count(passed & _every_byte(0x80)).astype(np.uint64) << np.uint64(3)
+    before = (s << np.uint64(8)) >> shift & np.uint64(0xFF)
+    at = ((word >> shift & np.uint64(0xFF)) << np.uint64(3)) + r - before
+    return shift.astype(np.int64) + _PLACES[at.astype(np.int64)]
 
 
 class EliasFano:
