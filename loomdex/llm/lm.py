@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomdex.llm import eliasfano as ef
 from loomdex.llm.common import binary_column, cut, shuffle_parts
-from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, deal, merge, new_folder, planes, shard_of
+from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, by_shard, deal, merge, new_folder, planes, shard_of
 
 FOLDS, HELD = 5, 1
 #: Pairs seen less often have no successors of their own in level 3.
@@ -258,7 +258,7 @@ def fit(train: DataFrame, exact: bool = False) -> Model:
         ef.save(files.path("words", int(key[0])), {**ef.named("hash", ef.EliasFano.build(h)), "count": _least(c)})
         return pd.DataFrame({"shard": [key[0]], "words": [len(h)], "tokens": [int(c.sum())], "once": [int((c == 1).sum())]})
 
-    told = texts.mapInArrow(count_words, ROWS).groupBy("shard").applyInPandas(keep_words, "shard int, words long, tokens long, once long").collect()
+    told = by_shard(texts.mapInArrow(count_words, ROWS), shards, keep_words, "shard int, words long, tokens long, once long").collect()
     sizes = np.zeros(shards, np.int64)
     for r in told:
         sizes[r.shard] = r.words
@@ -298,7 +298,7 @@ def fit(train: DataFrame, exact: bool = False) -> Model:
                 out.append((s, planes(w[a:b]), planes(times[a:b].astype(np.uint64)), None))
         return pd.DataFrame(out, columns=["shard", "keys", "counts", "n"])
 
-    merged = cut(texts.mapInArrow(count_pairs, ROWS).groupBy("shard").applyInPandas(keep_pairs, f"{ROWS}, n array<long>"))
+    merged = cut(by_shard(texts.mapInArrow(count_pairs, ROWS), shards, keep_pairs, f"{ROWS}, n array<long>"))
     n = np.array([r.n for r in merged.where("shard < 0").select("n").collect()])
     cost2, pair_sizes = _modified(n[:, 2:].sum(axis=0)), np.zeros(shards, np.int64)
     pair_sizes[n[:, 0]] = n[:, 1]
@@ -314,7 +314,7 @@ def fit(train: DataFrame, exact: bool = False) -> Model:
         ef.save(files.path("lefts", int(key[0])), {"word": w, "count": _least(c)})
         return pd.DataFrame({"once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]})
 
-    lefts = merged.where("shard >= 0").drop("n").groupBy("shard").applyInPandas(keep_continuations, "once long, twice long").agg(F.sum("once"), F.sum("twice")).first()
+    lefts = by_shard(merged.where("shard >= 0").drop("n"), shards, keep_continuations, "once long, twice long").agg(F.sum("once"), F.sum("twice")).first()
     discount = lefts[0] / (lefts[0] + 2 * lefts[1]) if lefts[0] and lefts[1] else 0.75
     uniform = discount / pairs  # each word's discount goes back to all words alike
 
@@ -343,7 +343,7 @@ def fit(train: DataFrame, exact: bool = False) -> Model:
         ef.save(files.path("triples", t), {**_nodes(p, (keys & mask).astype(np.int64), int(model.ranges[t + 1] - model.ranges[t])), "count": _least(c)})
         return pd.DataFrame({"n": [_count_counts(c)]})
 
-    n = [r.n for r in texts.mapInArrow(count_triples, ROWS).groupBy("shard").applyInPandas(keep_triples, "n array<long>").collect()]
+    n = [r.n for r in by_shard(texts.mapInArrow(count_triples, ROWS), shards, keep_triples, "n array<long>").collect()]
     cost3 = _modified(np.array(n or [[0] * 4]).sum(axis=0))
 
     def build(batches):

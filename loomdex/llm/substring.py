@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomdex.llm import eliasfano as ef
 from loomdex.llm.common import binary_column, cut, mix64, shuffle_parts, slices
 from loomdex.llm.backward import BackwardIndex
-from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, deal, merge, new_folder, shard_of
+from loomdex.llm.tally import HASH_BITS, ROWS, Files, Tally, by_shard, deal, merge, new_folder, shard_of
 
 WINDOW = 35
 GRAM = 16
@@ -157,7 +157,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return run
 
-    d.select("text").mapInArrow(count, ROWS).groupBy("shard").applyInPandas(keep("twice", 2), "n long").count()
+    by_shard(d.select("text").mapInArrow(count, ROWS), shards, keep("twice", 2), "n long").count()
 
     def find(batches):
         import pyarrow as pa
@@ -181,7 +181,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             keys = np.unique(_place(*(b.column(i).to_numpy() for i in range(3))))
             yield from deal(shard_of(keys, shards), shards, keys, np.ones(len(keys), np.int64))
 
-    asked.select("at.k", "at.th", "at.start").mapInArrow(name, ROWS).groupBy("shard").applyInPandas(keep("asked", 1), "n long").count()
+    by_shard(asked.select("at.k", "at.th", "at.start").mapInArrow(name, ROWS), shards, keep("asked", 1), "n long").count()
 
     def fetch(batches):
         import pyarrow as pa
@@ -230,7 +230,7 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pd.DataFrame({"key": table["key"], "piece": table["piece"], "all": table["all"], "offsets": offsets})
 
     in_shard = F.pmod(F.xxhash64("key"), F.lit(indexes)).alias("shard")
-    indexed = texts.select("*", in_shard).groupBy("shard").applyInPandas(index, "key long, piece long, all boolean, offsets array<int>").where(F.size("offsets") > 0)
+    indexed = by_shard(texts.select("*", in_shard), indexes, index, "key long, piece long, all boolean, offsets array<int>").where(F.size("offsets") > 0)
     every = wholes.join(variants.where("variants = 1"), "m").where("n > 1 AND NOT twice").select("m", "whole", F.lit(None).cast("array<int>").alias("offsets"))
     if places is None:
         some = indexed.select(F.col("key").alias("m"), F.col("piece").alias("whole"), "offsets")

@@ -7,7 +7,7 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomdex.llm import eliasfano as ef
 from loomdex.llm.common import shared_dir
@@ -108,3 +108,17 @@ def deal(shard: np.ndarray, shards: int, keys: np.ndarray, counts: np.ndarray):
 def merge(table) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of one shard's rows (a pandas frame of ROWS)."""
     return add([(plain(k, np.uint64), plain(c, np.uint64).astype(np.int64)) for k, c in zip(table["keys"], table["counts"], strict=True)])
+
+
+def by_shard(rows: DataFrame, shards: int, fn, schema: str) -> DataFrame:
+    """``fn(key, frame)`` for each ``shard`` of ``rows``, one partition a shard, so that no two large ones meet in a task."""
+
+    def run(frames):
+        import pandas as pd
+
+        parts = [f for f in frames if len(f)]
+        if parts:
+            table = pd.concat(parts, ignore_index=True)
+            yield fn((table["shard"].iloc[0],), table)
+
+    return rows.repartitionById(shards, F.col("shard").cast("int")).mapInPandas(run, schema)
