@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from loomdex.functions import parsing, replies, text as T
-from loomdex.operators import cache, chunks, graph, index, order, providers, usage
+from loomdex.operators import cache, chunks, graph, index, order, providers, sinks, usage
+from loomdex.operators.storage import checkpoint_dir
 from loomdex.plans import corpus
 from loomdex.plans.corpus import table
 from loomdex.plans.queries import EDGES, FILES, LINES, REGIONS, SYMBOLS, query
@@ -71,7 +74,7 @@ FOUND = {
 SPEC = {"en": "./m{i}", "fr": ".m{i}", "de": "crate::m{i}::A", "es": "org.m{i}.A"}
 
 
-def _code(spark, d) -> DataFrame:
+def _code_files(spark, d) -> DataFrame:
     f = corpus.files(spark, d)
     word, number = F.regexp_extract("content", "[a-zA-Z]+", 0), F.col("seq").cast("string")
 
@@ -83,7 +86,11 @@ def _code(spark, d) -> DataFrame:
     code = F.lit("")
     for lang, name in (("en", "typescript"), ("fr", "python"), ("de", "rust"), ("es", "java")):
         code = F.when(grammar == name, filled(CODE[lang])).otherwise(code)
-    return parsing.parse_files(f.select("path", code.alias("content")))
+    return f.select("path", code.alias("content"), "language", F.octet_length(code).cast("long").alias("size_bytes"), "seq")
+
+
+def _code(spark, d) -> DataFrame:
+    return parsing.parse_files(_code_files(spark, d).select("path", "content"))
 
 
 def _values(rows) -> str:
@@ -236,6 +243,39 @@ def workflow_contexts(spark, d):
     return c.select("path", "language", "overview", F.size("symbols").alias("n_symbols"), F.size("dependencies").alias("n_dependencies"), "chunk_count")
 
 
+@query(f"""with {FILES}, v(lang, n) as (values {_values((lang, len(x)) for lang, x in FOUND.items())})
+select path, {LANGUAGE} as language, case when seq % 2 = 0 then 'From the cache' else 'Overview of ' || path || '.' end as overview, case when seq % 2 = 0 then 0 else n end::int as n_symbols, 1 as chunk_count from f join v using (lang)""")
+def run_contexts(spark, d):
+    """A whole run over code, every second file from the cache, the others in batches."""
+    from loomdex.plans.workflow import CONTEXT_SYMBOL, full_run
+
+    f = _code_files(spark, d).where("language <> 'unknown'")
+    f = f.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    cached = f.where("seq % 2 = 0").select(
+        T.content_hash(F.col("content")).alias("content_hash"), "path", "language", F.lit("From the cache").alias("overview"), F.array().cast(f"array<{CONTEXT_SYMBOL}>").alias("symbols"),
+        F.array().cast("array<string>").alias("dependencies"), F.lit("T").alias("analyzed_at"), F.lit(1).alias("chunk_count"),
+    )
+    out = full_run(f, cached, sources.Settings(concurrent_requests=4))
+    return out["contexts"].select("path", "language", "overview", F.size("symbols").alias("n_symbols"), "chunk_count")
+
+
+@query(f"with {FILES} select path, sha256(content) as content_hash, size_bytes from f where lang in ('en', 'fr', 'de', 'es')")
+def tree_round_trip(spark, d):
+    """Files written one by one below the shared folder and scanned again."""
+    root = f"{checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}"
+    sinks.write_files(corpus.texts(spark, d).select("path", F.col("content").alias("text")), root)
+    return sources.read_tree(spark, root).select("path", T.content_hash(F.col("content")).alias("content_hash"), "size_bytes")
+
+
+@query(f"with {FILES}, {EDGES} select src, pos, dst from e")
+def published_edges(spark, d):
+    """Two versions published, the last one read."""
+    root, e = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", corpus.edges(spark, d)
+    sinks.publish({"edges": e.where("pos = 0")}, root, "first")
+    sinks.publish({"edges": e}, root, "second")
+    return sinks.current(spark, root, "edges")
+
+
 @query(f"""with {FILES}, {EDGES}, u as (select dst as path, src, row_number() over (partition by dst order by f.seq) as k from e join f on f.path = e.src) select path, string_agg(src, ',' order by k) as used_by from u where k <= 10 group by path""")
 def first_importers(spark, d):
     e = corpus.edges(spark, d).join(corpus.files(spark, d).select(F.col("path").alias("src"), F.col("seq").alias("src_seq")), "src")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,12 +61,19 @@ def read_tree(spark: SparkSession, root: str, settings: Settings = Settings()) -
     base = root.rstrip("/")
     glob = "*{" + ",".join(settings.extensions) + "}"
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(base, wholetext=True)
-    where = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/")
-    d = raw.select(where.alias("p"), F.col("value").alias("content"))
-    d = d.select(F.substring("p", len(base) + 2, 1 << 20).alias("path"), "content")
+    d = raw.select(below(F.col("_metadata.file_path"), base).alias("path"), F.col("value").alias("content"))
     return number_by_path(keep_source(d, settings))
 
 
+SCHEME = "^[a-z][a-z0-9+.-]*:/*"
+
+
+def below(address: Column, root: str) -> Column:
+    """A file's address as a path below ``root``, whatever scheme either is written with."""
+    bare = re.sub(SCHEME, "/", root.rstrip("/"))
+    return F.substring(F.regexp_replace(F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B"))), SCHEME, "/"), len(bare) + 2, 1 << 20)
+
+
 def number_by_path(d: DataFrame) -> DataFrame:
     """seq follows the code units of the path; the numbers are the path itself, so no global sort is needed."""
     return d.select("path", "content", T.language_of(F.col("path")).alias("language"), F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("size_bytes"), F.col("path").alias("seq"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomdex.operators.cache import upsert
-from loomdex.sources.files import Settings, keep_source
+from loomdex.sources.files import Settings, below, keep_source
 
 
 def bursts(events: DataFrame, key: str, gap: str = "3 seconds", delay: str = "10 seconds", ts: str = "ts") -> DataFrame:
@@ -75,8 +75,7 @@ def file_changes(spark: SparkSession, root: str, settings: Settings = Settings()
     """A stream (path, content, ts) of files below ``root`` as they are created or written anew; deletions are not seen by a file source."""
     glob = "*{" + ",".join(settings.extensions) + "}"
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    where = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    d = raw.select(F.substring(where, len(root.rstrip("/")) + 2, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("ts"))
+    d = raw.select(below(F.col("path"), root).alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("ts"))
     return keep_source(d, settings)
 
 

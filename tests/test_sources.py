@@ -10,7 +10,7 @@ def test_read_tree(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     rows = {r.path: r for r in files.read_tree(spark, str(tmp_path)).collect()}
-    assert {k.replace("%20", " ") for k in rows} == {"src/a.ts", "src/deep/b.py", "sp ace.go"}
+    assert set(rows) == {"src/a.ts", "src/deep/b.py", "sp ace.go"} == {r.path for r in files.read_tree(spark, f"file://{tmp_path}/").collect()}
     assert rows["src/a.ts"].content == "let a\nb" and rows["src/a.ts"].size_bytes == 7 and rows["src/deep/b.py"].language == "python"
 
 
