@@ -73,6 +73,8 @@ def _clock(data: bytes, node) -> tuple[int, int]:
 def _sizes(data: bytes, stbl: list) -> np.ndarray:
     if node := _find(stbl, b"stsz"):
         fixed, count = struct.unpack_from(">II", data, node[1] + 4)
+        if fixed * count > len(data):
+            raise ValueError("more sample bytes than the file has")
         return np.full(count, fixed, np.int64) if fixed else _table(data, node, ">u4", skip=8)[:, 0]
     node = _find(stbl, b"stz2")
     if not node:
@@ -123,23 +125,94 @@ def track(data: bytes, trak: list) -> dict:
         "codec": entry[0].decode("latin-1"),
         "handler": data[hdlr[1] + 8 : hdlr[1] + 12].decode("latin-1") if hdlr else None,
         "duration_s": float((times[:, 0] * times[:, 1]).sum() / scale) if scale else 0.0,
-        "offsets": offsets, "sizes": sizes, "keys": keys,
+        "offsets": offsets, "sizes": sizes, "keys": keys, "scale": scale,
     }
 
 
-def probe(data: bytes) -> dict:
-    """The first track of a container; ValueError if the bytes are not one."""
-    tree = _tree(data, 0, len(data))
-    moov = _find(tree, b"moov")
-    traks = [n for n in (moov[3] if moov else []) if n[0] == b"trak"]
-    if not traks:
-        raise ValueError("no track")
+def _number(data: bytes, trak: list) -> int:
+    """The track's number, by which fragments name it; 0 without a header."""
+    tkhd = _find(trak, b"tkhd")
+    return struct.unpack_from(">I", data, tkhd[1] + (20 if data[tkhd[1]] == 1 else 12))[0] if tkhd else 0
+
+
+def _run(data: bytes, node, base: int, at: int, duration: int, size: int, flags: int) -> dict[str, np.ndarray]:
+    """Samples of one trun: where they lie, durations, flags. Without an offset of its own it goes on at ``at``."""
+    given, (count,), place = int.from_bytes(data[node[1] + 1 : node[1] + 4], "big"), struct.unpack_from(">I", data, node[1] + 4), node[1] + 8
+    if given & 1:
+        at, place = base + struct.unpack_from(">i", data, place)[0], place + 4
+    first = None
+    if given & 4:
+        first, place = struct.unpack_from(">I", data, place)[0], place + 4
+    columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if given & bit]
+    if place + 4 * count * len(columns) > node[2] or count > len(data):
+        raise ValueError("a fragment's run is cut off")
+    rows = np.frombuffer(data, ">u4", count * len(columns), place).astype(np.int64).reshape(count, len(columns))
+    column = lambda bit, other: rows[:, columns.index(bit)] if bit in columns else np.full(count, other, np.int64)
+    sizes, kinds = column(0x200, size), column(0x400, flags).copy()
+    if first is not None and count:
+        kinds[0] = first
+    return {"offsets": at + np.cumsum(sizes) - sizes, "sizes": sizes, "durations": column(0x100, duration), "kinds": kinds, "end": at + int(sizes.sum())}
+
+
+def _fragments(data: bytes, tree: list, mvex: list) -> dict[int, list[dict]]:
+    """Runs of samples in moof boxes, by track number. trex has what a fragment leaves out."""
+    usual = {n[0]: n[1:] for n in (struct.unpack_from(">I4xIII", data, t[1] + 4) for t in mvex if t[0] == b"trex")}
+    out: dict[int, list[dict]] = {}
+    for node, begin in zip(tree, [0, *(n[2] for n in tree[:-1])], strict=True):
+        if node[0] != b"moof":
+            continue
+        end = begin
+        for traf in (n for n in node[3] if n[0] == b"traf"):
+            tfhd = _find(traf[3], b"tfhd")
+            if not tfhd:
+                raise ValueError("a fragment without header")
+            given, (number,), place = int.from_bytes(data[tfhd[1] + 1 : tfhd[1] + 4], "big"), struct.unpack_from(">I", data, tfhd[1] + 4), tfhd[1] + 8
+            base = begin if given & 0x20000 or end == begin else end
+            if given & 1:
+                base, place = struct.unpack_from(">Q", data, place)[0], place + 8
+            place += 4 * bool(given & 2)
+            defaults = list(usual.get(number, (0, 0, 0)))
+            for i, bit in enumerate((8, 0x10, 0x20)):
+                if given & bit:
+                    defaults[i], place = struct.unpack_from(">I", data, place)[0], place + 4
+            end = base
+            for trun in (n for n in traf[3] if n[0] == b"trun"):
+                run = _run(data, trun, base, end, *defaults)
+                end = run["end"]
+                out.setdefault(number, []).append(run)
+    return out
+
+
+def tracks(data: bytes) -> list[dict]:
+    """All tracks of a container, samples of fragments behind those of the sample table; ValueError if the bytes are not one."""
     try:
-        return track(data, traks[0][3])
+        tree = _tree(data, 0, len(data))
+        moov = _find(tree, b"moov")
+        traks = [n[3] for n in (moov[3] if moov else []) if n[0] == b"trak"]
+        if not traks:
+            raise ValueError("no track")
+        mvex = _find(moov[3], b"mvex")
+        pieces = _fragments(data, tree, mvex[3] if mvex else [])
+        out = []
+        for trak in traks:
+            t = track(data, trak)
+            for run in pieces.get(_number(data, trak), []):
+                if len(run["sizes"]) and (run["offsets"].min() < 0 or run["end"] > len(data)):
+                    raise ValueError("a sample lies outside the file")
+                t["keys"] = np.r_[t["keys"], len(t["sizes"]) + np.flatnonzero(run["kinds"] & 0x10000 == 0)]
+                t["offsets"], t["sizes"] = np.r_[t["offsets"], run["offsets"]], np.r_[t["sizes"], run["sizes"]]
+                t["duration_s"] += float(run["durations"].sum() / t["scale"]) if t["scale"] else 0.0
+            out.append(t)
+        return out
     except (struct.error, IndexError) as e:
         raise ValueError(f"cut off: {e}") from e
 
 
+def probe(data: bytes) -> dict:
+    """The first track of a container; ValueError if the bytes are not one."""
+    return tracks(data)[0]
+
+
 def samples(data: bytes, found: dict) -> bytes:
     """The stored bytes, read through the sample table."""
     view = memoryview(data)
@@ -193,7 +266,8 @@ def feature(found: dict, data: bytes) -> str:
     return f"codec={found['codec'].strip()};samples={len(sizes)};duration_s={found['duration_s']:.3f};keyframes={len(keys)};first_last={','.join(spans)}"
 
 
-FIELDS = "codec string, handler string, duration_s double, n_samples long, keyframes array<struct<start:long,length:long>>, feature string, payload binary, media_error string"
+SPANS = "array<struct<start:long,length:long>>"
+FIELDS = f"codec string, handler string, duration_s double, n_samples long, keyframes {SPANS}, feature string, payload binary, media_error string, tracks array<struct<codec:string,handler:string,duration_s:double,n_samples:long,keyframes:{SPANS}>>"
 
 
 def _probed(data: bytes | None, with_payload: bool) -> dict:
@@ -201,26 +275,32 @@ def _probed(data: bytes | None, with_payload: bool) -> dict:
     try:
         if data is None:
             raise ValueError("null")
-        found = probe(data)
+        every = tracks(data)
     except ValueError as e:
         return {"media_error": str(e)}
-    k = found["keys"]
-    return {
-        "codec": found["codec"], "handler": found["handler"], "duration_s": found["duration_s"], "n_samples": len(found["sizes"]),
-        "keyframes": [{"start": int(a), "length": int(b)} for a, b in zip(found["offsets"][k], found["sizes"][k], strict=True)],
-        "feature": feature(found, data), "payload": samples(data, found) if with_payload else None,
-    }
+    told = []
+    for t in every:
+        k = t["keys"]
+        spans = [{"start": int(a), "length": int(b)} for a, b in zip(t["offsets"][k], t["sizes"][k], strict=True)]
+        told.append({"codec": t["codec"], "handler": t["handler"], "duration_s": t["duration_s"], "n_samples": len(t["sizes"]), "keyframes": spans})
+    return {**told[0], "feature": feature(every[0], data), "payload": samples(data, every[0]) if with_payload else None, "tracks": told}
 
 
 def probe_media(df: DataFrame, media: str = "media", with_payload: bool = False) -> DataFrame:
-    """``df`` plus a struct ``probed`` (FIELDS) for its binary column ``media``.
+    """``df`` plus a struct ``probed`` (FIELDS) for its binary column ``media``: the first track's figures, and those of all ``tracks``.
 
-    Null, empty or broken media: nulls and ``media_error``. No shuffle; one row in, one row out;
+    A column ``probed`` of ``df`` gives way, others keep their names, whatever they are. Null, empty or broken media: nulls and ``media_error``. No shuffle; one row in, one row out;
     memory is that of one Arrow batch. Payload bytes are read back only if asked for.
     """
-    names = [n.split()[0] for n in FIELDS.split(", ")]
-    keep = df.columns
-    schema = df.schema
+    from pyspark.sql.types import StructField, StructType
+
+    probed_type = StructType.fromDDL(FIELDS)
+    names = probed_type.names
+    keep = [c for c in df.columns if c != "probed" or c == media]
+    df = df.select(*keep)
+    mark = "probed_"
+    while any(c.lower().startswith(mark) for c in keep):
+        mark = "_" + mark
 
     def run(batches):
         import pyarrow as pa
@@ -232,13 +312,10 @@ def probe_media(df: DataFrame, media: str = "media", with_payload: bool = False)
                 cut = b.slice(part, 512)
                 rows = [_probed(x, with_payload) for x in cut.column(cut.schema.get_field_index(media)).to_pylist()]
                 made = [pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(cut.column(i) for i in range(len(keep))), *made], [*keep, *(f"probed_{n}" for n in names)])
-
-    from pyspark.sql.types import StructField, StructType
+                yield pa.RecordBatch.from_arrays([*(cut.column(i) for i in range(len(keep))), *made], [*keep, *(mark + n for n in names)])
 
-    probed_type = StructType.fromDDL(FIELDS)
-    flat = df.mapInArrow(run, StructType([*schema.fields, *(StructField(f"probed_{f.name}", f.dataType) for f in probed_type.fields)]))
-    return flat.select(*keep, F.struct(*(F.col(f"probed_{n}").alias(n) for n in names)).alias("probed"))
+    flat = df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(mark + f.name, f.dataType) for f in probed_type.fields)]))
+    return flat.select(*keep, F.struct(*(F.col(mark + n).alias(n) for n in names)).alias("probed"))
 
 
 def store_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -261,7 +338,11 @@ def store_text(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Texts stored, probed and read back; digests are taken by Spark's own functions."""
+    """Texts stored, probed and read back; digests are taken by Spark's own functions.
+
+    Null text counts as empty, and an empty text is stored as 64 zero bytes; repeated rows give repeated
+    results, null doc_id is kept; an empty table gives no rows; other columns are ignored.
+    """
     p = probe_media(store_text(docs), with_payload=True)
     payload = F.col("probed.payload")
     return p.select(
