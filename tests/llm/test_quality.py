@@ -121,6 +121,40 @@ def test_training_words_are_bounded(spark):
     assert quality.within(df, [2, 1], 60) == [1] and quality.within(df, [], 60) == []
 
 
+def test_all_trusted_text_is_used(spark, monkeypatch):
+    monkeypatch.setattr(quality, "DEAL_AT", 1000)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words[min(399, int(r.expovariate(0.02)))] for _ in range(r.randint(0, 9))) for i in range(6500)}
+    df = spark.createDataFrame([(i, t, "xy"[i % 2]) for i, t in texts.items()], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    order = [x.doc_id for x in labels.selectExpr("doc_id", "xxhash64('trusted', doc_id) AS h").orderBy("h").collect()]
+    assert quality.trusted_ids(labels) == (order[:2400], order[2400:])
+    plain, prior = Plain([texts[i] for i in order[:2400]]), quality.PRIOR_TOKENS
+    score = {i: plain.score(t) for i, t in texts.items()}
+    want = {}
+    for k in (0, 1):
+        ids = [i for i in order[2400:] if i % 2 == k]
+        mu = -sum(score[i][0] for i in ids) / sum(score[i][1] for i in ids)
+        value = {i: (prior * mu - score[i][0]) / (score[i][1] + prior) for i in texts if i % 2 == k}
+        x, at = sorted(value[i] for i in ids), quality.QUANTILE * (len(ids) - 1)
+        limit = x[int(at)] + (at - int(at)) * (x[min(int(at) + 1, len(x) - 1)] - x[int(at)]) + math.log(quality.SLACK)
+        want |= {i: (math.exp(v), math.exp(limit)) for i, v in value.items()}
+    rows = quality.classify(df, labels).collect()
+    assert len(rows) == 6500
+    for row in rows:
+        assert (row["__perplexity"], row["__threshold"]) == pytest.approx(want[row.doc_id], rel=1e-6)
+
+
+def test_trusted_ids_of_other_types(spark):
+    df = spark.createDataFrame([(str(i), f"a b{i % 3}", "x") for i in range(50)] + [(None, "a", "x")], "doc_id string, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(0, 1, 0), (None, 1, 0)], "doc_id int, quality int, toxic int")
+    trusted = quality.Trusted(labels.withColumn("doc_id", labels.doc_id.cast("string")))
+    rows = trusted.rows(df)
+    assert [rows.mapInArrow(trusted.only(train), rows.schema).count() for train in (True, False)] == [16, 24]
+    assert quality.classify(df, labels).where("__threshold IS NOT NULL").count() == 51
+
+
 def test_awkward(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 1, 0), (7, 1, 0), (None, 1, 0), (3, None, None), (9, 0, 1)], "doc_id long, quality int, toxic int")
