@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -57,6 +58,20 @@ def test_stages_against_plain_versions(spark, tmp_path):
     check_pieces({r.doc_id: r.text for r in docs.dropDuplicates(["doc_id"]).collect()}, rows)
 
 
+def test_quality_learns_from_all_trusted_text(spark, tmp_path):
+    """Of 6,000 trusted documents 25, which come after the first 2,000 of the order, hold a phrase; text with the phrase stays."""
+    r = random.Random(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6000)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    order = [x.doc_id for x in labels.selectExpr("doc_id", "xxhash64('trusted', doc_id) AS h").orderBy("h").collect()]
+    phrase = " ".join(f"b{i}" for i in range(40))
+    texts = {i: " ".join(f"a{r.randint(0, 30)}" for _ in range(20)) for i in order} | dict.fromkeys(order[2000:2025], phrase)
+    texts |= dict.fromkeys(range(6000, 6005), phrase) | {i: " ".join(f"junk{r.random()}" for _ in range(40)) for i in range(6005, 6010)}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, lang string").repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).collect()}
+    assert {i for i in kept if i >= 6000} == set(range(6000, 6005)) and len(kept) > 5900
+
+
 def test_run_is_the_stages(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and sum(r.length for r in rows) > 0
